@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import bpe, exact_dedup, near_dedup, packing, substring_dedup
 
 QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_packing": packing.op4_packing,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_bpe": bpe.op6_bpe,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
