@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkengine.llm import exact_dedup, near_dedup
+from linkengine.llm import exact_dedup, language, near_dedup, packing, pii
 from linkengine.llm.store import Store
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is unknown go."""
+    return language.keep_known(docs)
+
+
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exact_dedup.drop_copies(docs)
@@ -18,15 +24,29 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near(docs)
 
 
+def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Private values become pseudonyms of their own format."""
+    return pii.pseudonymise(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("language_id", known_language),
     ("exact_dedup", drop_exact),
     ("near_dedup", drop_near),
+    ("pii", hide_private),
+    ("packing", pack),
 ]
 #: Language models, keyed permutations and packing are beyond SQL; tests hold the run against a plain one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table of documents.  Null, empty and repeated rows are each stage's own affair."""
     store = Store(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
