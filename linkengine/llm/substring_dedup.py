@@ -8,7 +8,9 @@ hashed whole, and each looks for its smallest document.
 
 Both meetings use one exchange.  A task first meets its own rows: it answers for what it sees together and sends each
 distinct hash on once, with its smallest document.  A passage that a third of all documents hold therefore sends a row per
-batch, not a row per document.
+batch, not a row per document.  Rows of the exchange are packed: one for each task's batch and hash range, and one for each
+range and document bucket on the way back.  Anchors travel as 32 bits beside their range, whose number grows with the
+partitions; a chance meeting only adds a candidate window, and windows meet by all 64 bits.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 
 _COVERED = np.isin(np.arange(PERIOD), COVER)
-_MET = "bucket int, doc_id long, hashes binary, docs binary"
+_PACKED = "bucket int, answer boolean, hashes binary, docs binary"
 U = np.uint64
 
 
@@ -76,27 +79,39 @@ def _meet_local(h: np.ndarray, d: np.ndarray, later: bool) -> tuple[np.ndarray,
     return h[hit], d[hit], h[new_h], d[new_h]
 
 
-def _answers(h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    """One row per document with its hashes."""
-    order = np.argsort(d, kind="stable")
-    h, d = h[order], d[order]
-    cut = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
-    raw, end = h.tobytes(), np.append(cut, len(d))
-    parts = [raw[8 * a : 8 * b] for a, b in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
-    empty = pa.nulls(len(parts), pa.binary())
-    return pa.record_batch([pa.array((h[cut] % U(1 << 30)).astype(np.int32)), pa.array(d[cut]), pa.array(parts, pa.binary()), empty], names=["bucket", "doc_id", "hashes", "docs"])
+def _pack(key: np.ndarray, h: np.ndarray, d: np.ndarray, answer: bool) -> pa.RecordBatch:
+    """One row per key; within it documents ascend and are kept as differences in as few bytes as they need."""
+    order = np.lexsort((d, key))
+    key, h, d = key[order], h[order], d[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    hashes, docs = [], []
+    for i, j in zip(at.tolist(), np.append(at, len(key))[1:].tolist(), strict=True):
+        step = np.diff(d[i:j]).astype(U)
+        size = next(k for k in (1, 2, 4, 8) if int(step.max(initial=0)) < 1 << 8 * k)
+        hashes.append(h[i:j].tobytes())
+        docs.append(d[i].tobytes() + bytes([size]) + step.astype(f"<u{size}").tobytes())
+    return pa.record_batch([pa.array(key[at].astype(np.int32)), pa.array(np.full(len(at), answer)), pa.array(hashes, pa.binary()), pa.array(docs, pa.binary())], names=["bucket", "answer", "hashes", "docs"])
+
+
+def _unpack(docs: bytes) -> np.ndarray:
+    step = np.frombuffer(docs, f"<u{docs[8]}", offset=9).astype(np.int64)
+    return np.cumsum(np.append(np.frombuffer(docs, np.int64, 1), step))
+
+
+def _narrow(h: np.ndarray) -> np.ndarray:
+    return (h & U(0xFFFFFFFF)).astype(np.uint32)
+
 
+def _doc_bucket(d: np.ndarray, buckets: int) -> np.ndarray:
+    return (textkit.mix(d.astype(U)) >> U(32)).astype(np.int64) % buckets
 
-def _send(h: np.ndarray, d: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row per bucket, a range of the sorted hashes."""
-    b = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-    cut = np.searchsorted(b, np.arange(buckets + 1))
-    own = np.flatnonzero(np.diff(cut))
-    rh, rd = h.tobytes(), d.tobytes()
-    return pa.record_batch(
-        [pa.array(own.astype(np.int32)), pa.nulls(len(own), pa.int64()), pa.array([rh[8 * cut[i] : 8 * cut[i + 1]] for i in own], pa.binary()), pa.array([rd[8 * cut[i] : 8 * cut[i + 1]] for i in own], pa.binary())],
-        names=["bucket", "doc_id", "hashes", "docs"],
-    )
+
+def _send(h: np.ndarray, d: np.ndarray, buckets: int, later: bool) -> Iterator[pa.RecordBatch]:
+    """What a batch answers itself, by document, and what it sends on, by the range of the hash."""
+    hh, hd, sh, sd = _meet_local(h, d, later)
+    cut = (lambda x: x) if later else _narrow
+    yield _pack(_doc_bucket(hd, buckets), cut(hh), hd, True)
+    yield _pack(((sh >> U(32)) * U(buckets) >> U(32)).astype(np.int64), cut(sh), sd, False)
 
 
 def _anchors(buckets: int) -> Callable:
@@ -105,9 +120,7 @@ def _anchors(buckets: int) -> Callable:
             words, first = _word_batch(b.column(1))
             p = _anchor_places(first, len(words))
             d = np.repeat(b.column(0).to_numpy(), np.diff(first))[p]
-            hh, hd, sh, sd = _meet_local(textkit.grams(words, ANCHOR)[p], d, False)
-            yield _answers(hh, hd)
-            yield _send(sh, sd, buckets)
+            yield from _send(textkit.grams(words, ANCHOR)[p], d, buckets, False)
 
     return run
 
@@ -119,60 +132,87 @@ def _windows(buckets: int) -> Callable:
         for b in batches:
             words, first = _word_batch(b.column(1))
             p = _anchor_places(first, len(words))
-            g = textkit.grams(words, ANCHOR)[p]
+            g = _narrow(textkit.grams(words, ANCHOR)[p])
             at = np.searchsorted(p, first)
-            shared = [np.isin(g[at[i] : at[i + 1]], _hashes(x)) for i, x in enumerate(b.column(2))]
+            shared = [np.isin(g[at[i] : at[i + 1]], np.frombuffer(x.as_buffer(), np.uint32)) for i, x in enumerate(b.column(2))]
             q = p[np.concatenate(shared or [np.zeros(0, bool)])]
             row = np.repeat(np.arange(b.num_rows), np.diff(first))
             lo = np.maximum(q - PERIOD + 1, first[row[q]])
             opened = np.cumsum(np.bincount(lo, minlength=len(words) + 1) - np.bincount(q + 1, minlength=len(words) + 1))[: len(words)]
             w = np.flatnonzero((opened > 0) & (_places(first)[1] >= WINDOW))
-            hh, hd, sh, sd = _meet_local(textkit.grams(words, WINDOW)[w], b.column(0).to_numpy()[row[w]], True)
-            yield _answers(hh, hd)
-            yield _send(sh, sd, buckets)
+            yield from _send(textkit.grams(words, WINDOW)[w], b.column(0).to_numpy()[row[w]], buckets, True)
 
     return run
 
 
-def _hashes(lists: pa.Scalar) -> np.ndarray:
-    """Of a list of binaries."""
-    return np.concatenate([np.frombuffer(x.as_buffer(), U) for x in lists.values] or [np.zeros(0, U)]) if lists.is_valid else np.zeros(0, U)
+def _met(later: bool, buckets: int) -> Callable:
+    """Answers, by document bucket, for what met in the exchange; one hash range of the sorted partition is held at a time."""
+    kind = U if later else np.uint32
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, last = [], [], None
 
-def _met(later: bool) -> Callable:
-    """Answers for what met in the exchange; the partition is sorted by bucket, so that one bucket is held at a time."""
+        def meet() -> None:
+            if held:
+                h = np.concatenate([np.frombuffer(x, kind) for x, _ in held])
+                d = np.concatenate([_unpack(x) for _, x in held])
+                held.clear()
+                found.append(_meet_local(h, d, later)[:2])
+
+        for b in batches:
+            own = b.filter(b.column(1))
+            if own.num_rows:
+                yield own
+            sent = b.filter(pc.invert(b.column(1)))
+            for bucket, h, d in zip(sent.column(0).to_pylist(), sent.column(2).to_pylist(), sent.column(3).to_pylist(), strict=True):
+                if bucket != last:
+                    meet()
+                    last = bucket
+                held.append((h, d))
+        meet()
+        if found:
+            d = np.concatenate([x[1] for x in found])
+            yield _pack(_doc_bucket(d, buckets), np.concatenate([x[0] for x in found]), d, True)
+
+    return run
+
+
+def _gather(later: bool) -> Callable:
+    """One row per document with its hashes; one document bucket of the sorted partition is held at a time."""
+    kind = U if later else np.uint32
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[pa.RecordBatch]:
             if held:
-                h = np.concatenate([np.frombuffer(x, U) for x, _ in held])
-                d = np.concatenate([np.frombuffer(x, np.int64) for _, x in held])
+                h = np.concatenate([np.frombuffer(x, kind) for x, _ in held])
+                d = np.concatenate([_unpack(x) for _, x in held])
                 held.clear()
-                hh, hd, _, _ = _meet_local(h, d, later)
-                yield _answers(hh, hd).select(["doc_id", "hashes"])
+                order = np.argsort(d, kind="stable")
+                h, d = h[order], d[order]
+                at = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+                yield pa.record_batch([pa.array(d[at]), pa.array([h[i:j].tobytes() for i, j in zip(at.tolist(), np.append(at, len(d))[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "hashes"])
 
         for b in batches:
-            sent = b.filter(b.column(3).is_valid())
-            done = b.filter(b.column(3).is_null())
-            if done.num_rows:
-                yield done.select(["doc_id", "hashes"])
-            for bucket, h, d in zip(sent.column(0).to_pylist(), sent.column(2).to_pylist(), sent.column(3).to_pylist(), strict=True):
+            for bucket, h, d in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if bucket != last:
-                    yield from flush()
+                    yield from rows()
                     last = bucket
                 held.append((h, d))
-        yield from flush()
+        yield from rows()
 
     return run
 
 
-def _meet(sent: DataFrame, later: bool) -> DataFrame:
-    """Rows (doc_id, list of hash blocks)."""
+def _meet(sent: DataFrame, later: bool, buckets: int) -> DataFrame:
+    """Rows (doc_id, hashes): of each document what others share, or what a smaller one has."""
     n = partitions(sent.sparkSession)
-    met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_met(later), "doc_id long, hashes binary")
-    return met.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    # answers that are ready spread by a number of their own, so that they fill no hash range
+    spread = F.when(F.col("answer"), F.xxhash64("docs")).otherwise(F.col("bucket"))
+    met = sent.withColumn("spread", spread).repartition(n, "spread").drop("spread").sortWithinPartitions("bucket")
+    back = met.mapInArrow(_met(later, buckets), _PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
+    return back.mapInArrow(_gather(later), "doc_id long, hashes binary")
 
 
 def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +234,7 @@ def _cut(keep_text: bool) -> Callable:
             for i, t in enumerate(b.column(1).cast(pa.large_binary())):
                 own = t.as_buffer().to_pybytes().split()
                 lo, hi = int(first[i]), int(first[i + 1])
-                starts = np.flatnonzero(np.isin(g[lo : max(lo, hi - WINDOW + 1)], _hashes(b.column(2)[i])))
+                starts = np.flatnonzero(np.isin(g[lo : max(lo, hi - WINDOW + 1)], np.frombuffer(b.column(2)[i].as_buffer(), U)))
                 step = np.zeros(hi - lo + 1, np.int64)
                 step[starts] += 1
                 step[starts + WINDOW] -= 1
@@ -211,11 +251,11 @@ def _cut(keep_text: bool) -> Callable:
 
 def _cuts(docs: DataFrame, keep_text: bool) -> DataFrame:
     """doc_id, whole (SHA-256 of all words), n_removed, sha, kept_text of the documents that share a window."""
-    store, buckets = Store(docs.sparkSession, "substrings"), 4 * partitions(docs.sparkSession)
+    store, buckets = Store(docs.sparkSession, "substrings"), partitions(docs.sparkSession)
     known = docs.where("doc_id is not null and text is not null")
-    shared = _meet(known.mapInArrow(_anchors(buckets), _MET), False)
+    shared = _meet(known.mapInArrow(_anchors(buckets), _PACKED), False, buckets)
     near = store.save(known.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hashes"), "near")
-    gone = _meet(near.mapInArrow(_windows(buckets), _MET), True)
+    gone = _meet(near.mapInArrow(_windows(buckets), _PACKED), True, buckets)
     cuts = near.select("doc_id", "text").join(gone.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hashes")
     return cuts.mapInArrow(_cut(keep_text), "doc_id long, whole string, n_removed long, sha string, kept_text string").dropDuplicates(["doc_id", "whole"])
 
