@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, strings
 from ..functions.text import tokens
+from ..sources.stage import written
 from . import stats
 from .blocking import CHANNELS
 
@@ -133,10 +134,11 @@ def explanations(pairs: DataFrame, weights: DataFrame, side: str, field: str) ->
 
 
 def text_features(pairs: DataFrame, token_stats: DataFrame) -> DataFrame:
-    """All features but the blocking figures, of pairs with records."""
+    """All features but the blocking figures, of pairs with records; the pairs are written, as five plans read them."""
+    pairs = written(pairs, "pairs")
     out = pairs.select("s1_id", "cand_id", *[c.alias(n) for n, c in (scores() | numbers.number_features() | overlaps()).items()])
     for side, field in (("name", "norm_name"), ("addr", "norm_addr")):
-        w = token_weights(pairs, token_stats, field)
+        w = written(token_weights(pairs, token_stats, field), "weights")
         out = out.join(idf_jaccard(w, f"{side}_idf_jacc"), ["s1_id", "cand_id"], "left").join(explanations(pairs, w, side, field), ["s1_id", "cand_id"], "left")
     return out
 
@@ -152,6 +154,7 @@ def delta_features(cands: DataFrame, earlier: DataFrame, s1: DataFrame, pool: Da
     """Like :func:`pair_features`; text features of pairs in ``earlier`` are reused, only new pairs are computed."""
     names = FEATURES[len(meta_names()) :]
     keys = ["s1_id", "cand_id"]
+    earlier = written(earlier, "earlier")
     old = earlier.select(*keys, *names).join(cands.select(*keys), keys, "left_semi")
     fresh = text_features(with_records(cands.select(*keys).join(earlier.select(*keys), keys, "left_anti"), s1, pool), token_stats)
     text = old.unionByName(fresh.select(*keys, *[F.col(n).cast("float").alias(n) for n in names]))

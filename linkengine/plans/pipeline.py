@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise_records
 from ..operators import blocking, decode, features, model, stats
+from ..sources.stage import written
 from ..sources.tables import id_lists
 
 
@@ -51,21 +52,20 @@ class Linker:
 
 
 def prepare(records: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(S1, pool, features of the candidates) of raw records; write them where they are used more than once."""
-    norm = normalise_records(records)
+    """(S1, pool, features of the candidates) of raw records."""
+    norm = written(normalise_records(records), "records")
     s1, pool = norm.where("source = 'S1'"), norm.where("source <> 'S1'")
-    cands = blocking.candidates(s1, pool, top=settings.top)
-    return s1, pool, features.pair_features(cands, s1, pool, stats.token_stats(norm))
+    cands = written(blocking.candidates(s1, pool, top=settings.top), "candidates")
+    return s1, pool, written(features.pair_features(cands, s1, pool, written(stats.token_stats(norm), "stats")), "features")
 
 
 def train(records: DataFrame, truth: DataFrame, settings: Settings | None = None) -> Linker:
     settings = settings or Settings()
     _, _, feats = prepare(records, settings)
-    rows = model.labelled(feats, truth).persist()
+    rows = written(model.labelled(feats, truth), "labelled")
     classifier = model.fit(rows, features.FEATURES, rounds=settings.rounds, depth=settings.depth)
     oof = model.out_of_fold(rows, features.FEATURES, k=2, rounds=settings.rounds, depth=settings.depth)
     xs, ys = decode.breakpoints(decode.fit_isotonic(oof))
-    rows.unpersist()
     return Linker(settings, classifier, xs, ys)
 
 
@@ -79,6 +79,6 @@ def predict(linker: Linker, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(matched, candidate) id lists, one row for each S1."""
     s1, _, feats = prepare(records, linker.settings)
     s = linker.settings
-    scored = score(linker, feats)
+    scored = written(score(linker, feats), "scored")
     ids = s1.select(F.col("entity_id").alias("s1_id"))
     return id_lists(decode.postprocess(scored, s.lam, s.mode, s.miss, s.threshold), ids), id_lists(scored, ids)

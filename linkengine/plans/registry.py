@@ -2,14 +2,298 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keys, numbers, strings
+from ..functions import text as tx
+from ..operators import blocking, collective, decode, dense, features, judge, model, profile, split, stats, translit
+from ..sources import tables
+from ..sources.stage import written
+from . import fixtures as fx
+from . import oracles
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def _records(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda s, d: f(fx.records(s, d))
+
+
+def _raw(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda s, d: f(fx.raw_records(s, d))
+
+
+def _pairs(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda s, d: f(fx.scored_pairs(s, d))
+
+
+def _topk(name: str) -> Query:
+    channel = next(c for c in blocking.SPARSE if c.name == name)
+    return lambda s, d: blocking.channel_hits(*fx.sides(fx.records(s, d)), channel).drop("channel")
+
+
+_SOME = ["name_tok", "num_key", "name_pair"]
+
+
+def _union(s: SparkSession, d: str) -> DataFrame:
+    s1, pool = fx.sides(written(fx.records(s, d), "records"))
+    hits = blocking.reverse_hits(s1, pool)
+    for c in blocking.SPARSE:
+        if c.name in _SOME:
+            hits = hits.unionByName(blocking.channel_hits(s1, pool, c))
+    return blocking.union_hits(hits, [*_SOME, "reverse"])
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    union = written(_union(s, d), "union")
+    n = fx.raw_records(s, d).where("source <> 'S1'").count()
+    return blocking.report(union, blocking.prune(union, "n_channels", 10), fx.truth(s, d), fx.ids(s, d), n)
+
+
+def _f(f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda s, d: f(decode.threshold(fx.scored_pairs(s, d), 0.5), fx.order_truth(s, d), fx.order_ids(s, d))
+
+
+def _true(columns: dict[str, Callable[[], Column]]) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        pairs = features.with_records(fx.truth(s, d), *fx.sides(fx.records(s, d)))
+        return _rounded(pairs.select("s1_id", "cand_id", *[c().alias(n) for n, c in columns.items()]))
+
+    return run
+
+
+def _profile(f: Callable) -> Query:
+    """f(ids, truth, s1, pool)."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        s1, pool = fx.sides(fx.raw_records(s, d))
+        return f(fx.ids(s, d), fx.truth(s, d), s1, pool)
+
+    return run
+
+
+def _isotonic(s: SparkSession, d: str) -> DataFrame:
+    rows = fx.table(s, d, "documents").join(fx.table(s, d, "labels"), "doc_id").select(F.floor(F.least("n_chars", F.lit(4000)) / 40).alias("p"), F.col("quality").alias("label"))
+    rows = rows.withColumn("p", F.col("p").cast("double"))
+    xs, ys = decode.breakpoints(decode.fit_isotonic(rows))
+    return rows.select("p").distinct().select(F.col("p").cast("long").alias("p"), F.round(decode.interpolated(F.col("p"), xs, ys), 6).alias("y"))
+
+
+def _cands(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows = written(fx.records(s, d), "records")
+    s1, pool = fx.sides(rows)
+    some = [c for c in blocking.SPARSE if c.name in _SOME]
+    return written(blocking.candidates(s1, pool, some, top=10), "candidates"), s1, pool, written(stats.token_stats(rows), "stats")
+
+
+def _features(s: SparkSession, d: str) -> DataFrame:
+    return features.pair_features(*_cands(s, d))
+
+
+def _delta(s: SparkSession, d: str) -> DataFrame:
+    cands, s1, pool, st = _cands(s, d)
+    earlier = features.pair_features(cands.where("cheap_rank < 5"), s1, pool, st)
+    return features.delta_features(cands, earlier, s1, pool, st)
+
+
+QUICK_FEATURES = [*features.meta_names(), *[f"{f}_{k}" for f, k in features.QUICK]]
+
+
+def _quick(s: SparkSession, d: str) -> DataFrame:
+    """Labelled candidates with the pre-ranking features only."""
+    cands, s1, pool, _ = _cands(s, d)
+    pairs = features.with_records(cands.select("s1_id", "cand_id"), s1, pool)
+    text = pairs.select("s1_id", "cand_id", *[c.alias(n) for n, c in features.scores(features.QUICK).items()])
+    return written(model.labelled(features.meta(cands).join(text, ["s1_id", "cand_id"]), fx.truth(s, d)), "features")
+
+
+def _oof(s: SparkSession, d: str) -> DataFrame:
+    out = model.out_of_fold(_quick(s, d), QUICK_FEATURES, k=2, rounds=5, depth=3)
+    return out.select("s1_id", "cand_id", "label", "fold", F.round("p", 6).alias("p"))
+
+
+def _siblings(s: SparkSession, d: str) -> DataFrame:
+    rows = fx.records(s, d).select(F.col("entity_id").alias("cand_id"), F.col("norm_name").alias("name"), F.col("norm_addr").alias("addr"), F.col("house_number").alias("house"), F.col("postcodes").alias("post"))
+    p = F.pmod(F.xxhash64("s1_id", "cand_id"), F.lit(100)) / 100
+    return collective.sibling_support(fx.truth(s, d).withColumn("p", p).join(rows, "cand_id"))
+
+
+def _buckets(s: SparkSession, d: str) -> DataFrame:
+    p = fx.scored_pairs(s, d)
+    cands = p.where("p >= 0.2").select("s1_id", "cand_id", (F.col("p") * 100).alias("name_sim"), (F.col("cand_id") % 2).alias("number_conflict"))
+    return decode.error_buckets(decode.threshold(p, 0.5), p.where("label = 1"), cands, fx.order_ids(s, d))
+
+
+def _lists(s: SparkSession, d: str) -> DataFrame:
+    p = fx.scored_pairs(s, d).where("p >= 0.5").select("s1_id", F.lpad(F.col("cand_id").cast("string"), 9, "0").alias("cand_id"))
+    return tables.id_lists(p, fx.order_ids(s, d).select("s1_id"))
+
+
+def _checks(s: SparkSession, d: str) -> DataFrame:
+    truth, ids, raw = fx.truth(s, d), fx.ids(s, d), fx.raw_records(s, d)
+    lines = tables.id_lists(truth, ids.select("s1_id")).select(F.concat_ws("\t", "s1_id", "ids").alias("value"))
+    return tables.output_problems(lines, ids, raw.where("source <> 'S1'").select(F.col("entity_id").alias("cand_id")), lines)
+
+
+def _bootstrap(s: SparkSession, d: str) -> DataFrame:
+    p, t, i = fx.scored_pairs(s, d), fx.order_truth(s, d), fx.order_ids(s, d)
+    one = lambda cut, n: decode.entity_f(decode.threshold(p, cut), t, i).select("s1_id", F.col("f").alias(n))
+    return _rounded(decode.bootstrap_diff(one(0.5, "a").join(one(0.6, "b"), "s1_id"), rounds=100))
+
+
+def _dice(s: SparkSession, d: str) -> DataFrame:
+    """Accented words play the native script: an accented word of a page's title against the plain ones of its article's other pages."""
+    s1, pool = fx.sides(fx.records(s, d))
+    pairs = translit.pairs_of(fx.truth(s, d), s1, pool)
+    return translit.learn(pairs)
+
+
+def _prompts(s: SparkSession, d: str) -> DataFrame:
+    rows = fx.records(s, d)
+    s1, pool = fx.sides(rows)
+    pairs = features.with_records(fx.truth(s, d), s1, pool)
+    raw = lambda df, k, p: df.select(F.col("entity_id").alias(k), F.col("raw_name").alias(p + "raw_name"), F.col("raw_addr").alias(p + "raw_addr"))
+    pairs = pairs.join(raw(s1, "s1_id", "s_"), "s1_id").join(raw(pool, "cand_id", "p_"), "cand_id")
+    return judge.prompts(pairs, stats.generic_tokens(stats.token_stats(rows), 20))
+
+
+def _triplets(s: SparkSession, d: str) -> DataFrame:
+    raw = fx.raw_records(s, d).select("entity_id", "source", tx.record_text(F.col("raw_name"), F.col("raw_addr")).alias("text"))
+    truth = fx.truth(s, d)
+    owner = truth.groupBy("cand_id").agg(F.min("s1_id").alias("owner"))
+    pool = raw.where("source <> 'S1'").select(F.col("entity_id").alias("cand_id"), "text").join(owner, "cand_id", "left")
+    return dense.triplets(raw.select(F.col("entity_id").alias("s1_id"), "text"), truth, pool, _topk("name_pair")(s, d))
+
+
+def _transliterated(s: SparkSession, d: str) -> DataFrame:
+    rows = fx.records(s, d)
+    return translit.apply(rows, _dice(s, d), "raw_name", "translit_name").select("entity_id", "translit_name")
+
+
+def _windows(s: SparkSession, d: str) -> DataFrame:
+    out = fx.table(s, d, "events").groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def _sessions(s: SparkSession, d: str) -> DataFrame:
+    out = fx.table(s, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return out.select("user_id", F.col("w.start").alias("start"), "n", "total")
+
+
+_WITH_SQL: dict[str, tuple[Query, str]] = {
+    "normalise_records": (_records(lambda r: r.select("entity_id", "source", "country", "norm_name", "norm_addr", "fold_name", "fold_addr", "name_numbers", "addr_numbers", "house_number", "postcodes")), oracles.NORMALISE),
+    **{f"{n}_topk": (_topk(n), oracles.topk(n)) for n in oracles.KEYS},
+    "reverse_topk": (lambda s, d: blocking.reverse_hits(*fx.sides(fx.records(s, d))).drop("channel"), oracles.REVERSE),
+    "union_bitmask": (_union, oracles.UNION),
+    "gap_features": (lambda s, d: _rounded(blocking.gaps(_union(s, d), ["name_tok_score", "name_pair_score"]).select("s1_id", "cand_id", "name_tok_score_gap", "name_pair_score_gap", "union_size")), oracles.GAPS),
+    "prune_topn": (lambda s, d: blocking.prune(_union(s, d), "n_channels", 10).select("s1_id", "cand_id", "n_channels", "cheap_rank"), oracles.PRUNE),
+    "channel_report": (lambda s, d: blocking.channel_report(_union(s, d), fx.truth(s, d), [*_SOME, "reverse"]), oracles.CHANNELS),
+    "blocking_report": (_report, oracles.REPORT),
+    "token_stats": (_records(lambda r: stats.token_stats(r, ("norm_name", "norm_addr"))), oracles.TOKEN_STATS),
+    "idf": (_records(lambda r: _rounded(stats.idf_rows(stats.token_stats(r, ("norm_name",)), "norm_name").where("token is not null"))), oracles.IDF),
+    "suffix_likeness": (_records(lambda r: _rounded(stats.likeness(stats.token_stats(r, ("norm_name",)), "norm_name"))), oracles.LIKENESS),
+    "generic_tokens": (_records(lambda r: stats.generic_tokens(stats.token_stats(r, ("norm_name", "norm_addr")), 20)), oracles.GENERIC),
+    "top_tokens": (_records(lambda r: stats.top_tokens(stats.token_stats(r, ("norm_name",)), "norm_name")), oracles.TOP_TOKENS),
+    "record_quality": (_records(lambda r: stats.quality(r).drop("has_landmark", "romanized")), oracles.QUALITY),
+    "truth_pairs": (fx.truth, oracles.PROFILE["truth_pairs"]),
+    "sizes": (_raw(profile.sizes), oracles.PROFILE["sizes"]),
+    "singleton_rate": (_profile(lambda i, t, s1, p: profile.singleton_rate(i, t)), oracles.PROFILE["singleton_rate"]),
+    "match_percentiles": (_profile(lambda i, t, s1, p: profile.match_percentiles(i, t)), oracles.PROFILE["match_percentiles"]),
+    "multi_owner": (_profile(lambda i, t, s1, p: profile.multi_owner(t)), oracles.PROFILE["multi_owner"]),
+    "cross_group_matches": (_profile(lambda i, t, s1, p: profile.cross_group(t, s1, p)), oracles.PROFILE["cross_group_matches"]),
+    "unmatched_share": (_profile(lambda i, t, s1, p: profile.unmatched_share(p, t)), oracles.PROFILE["unmatched_share"]),
+    "exact_rates": (_profile(lambda i, t, s1, p: profile.exact_rates(profile.true_pairs(t, s1, p))), oracles.PROFILE["exact_rates"]),
+    "field_quality": (_raw(profile.field_quality), oracles.PROFILE["field_quality"]),
+    "digit_runs": (_raw(profile.digit_runs), oracles.PROFILE["digit_runs"]),
+    "shortcut_corr": (_profile(lambda i, t, s1, p: profile.shortcut(i, t)), oracles.PROFILE["shortcut_corr"]),
+    "macro_f05": (_f(lambda *a: _rounded(decode.macro_f(*a), 9)), oracles.DECISIONS["macro_f05"]),
+    "per_country_f05": (_f(decode.group_f), oracles.DECISIONS["per_country_f05"]),
+    "one_owner_hard": (_pairs(lambda p: decode.hard_owner(p).select("s1_id", "cand_id", "p")), oracles.DECISIONS["one_owner_hard"]),
+    "one_owner_soft": (_pairs(lambda p: _rounded(decode.soft_owner(p).select("s1_id", "cand_id", "p"), 9)), oracles.DECISIONS["one_owner_soft"]),
+    "sharpen": (_pairs(lambda p: p.select("s1_id", "cand_id", F.round(decode.sharpen(F.col("p"), 1.3), 9).alias("p"))), oracles.DECISIONS["sharpen"]),
+    "threshold_decode": (_pairs(lambda p: decode.threshold(p, 0.5)), oracles.DECISIONS["threshold_decode"]),
+    "expected_f_decode": (_pairs(decode.decode), oracles.DECISIONS["expected_f_decode"]),
+    "postprocess": (_pairs(decode.postprocess), oracles.DECISIONS["postprocess"]),
+    "ece": (_pairs(lambda p: _rounded(decode.ece(p), 9)), oracles.DECISIONS["ece"]),
+    "auc_logloss": (lambda s, d: decode.auc_logloss(fx.scored_pairs(s, d).join(fx.order_ids(s, d), "s1_id"), "country"), oracles.DECISIONS["auc_logloss"]),
+    "isotonic": (_isotonic, oracles.DECISIONS["isotonic"]),
+    "entity_context": (_pairs(lambda p: _rounded(collective.entity_context(p), 9)), oracles.DECISIONS["entity_context"]),
+    "competition": (_pairs(lambda p: _rounded(collective.competition(p))), oracles.DECISIONS["competition"]),
+    "group_folds": (_pairs(lambda p: model.group_folds(p).select("s1_id", "cand_id", "fold")), oracles.DECISIONS["group_folds"]),
+    "uncertain_band": (_pairs(lambda p: split.infer_band(p, most=500).select("s1_id", "cand_id", "p")), oracles.DECISIONS["uncertain_band"]),
+    "label_join": (lambda s, d: model.labelled(fx.scored_pairs(s, d).select("s1_id", "cand_id"), fx.order_truth(s, d)), oracles.DECISIONS["label_join"]),
+    "id_list_sink": (_lists, oracles.DECISIONS["id_list_sink"]),
+    "output_summary": (lambda s, d: tables.output_summary(decode.threshold(fx.scored_pairs(s, d), 0.5), fx.order_ids(s, d)), oracles.DECISIONS["output_summary"]),
+    "error_buckets": (_buckets, oracles.DECISIONS["error_buckets"]),
+    "ab_split": (lambda s, d: split.ab_split(fx.raw_records(s, d).where("source = 'S1'"), fx.truth(s, d)), oracles.OTHERS["ab_split"]),
+    "pool_split": (lambda s, d: split.pool_split(fx.raw_records(s, d).where("source <> 'S1'"), fx.truth(s, d), split.ab_split(fx.raw_records(s, d).where("source = 'S1'"), fx.truth(s, d))), oracles.OTHERS["pool_split"]),
+    "split_report": (lambda s, d: split.split_report(split.ab_split(fx.raw_records(s, d).where("source = 'S1'"), fx.truth(s, d))), oracles.OTHERS["split_report"]),
+    "hash_sample": (_raw(lambda r: split.hash_sample(r.select("entity_id", "source"), "entity_id", 100)), oracles.OTHERS["hash_sample"]),
+    "dense_knn": (lambda s, d: dense.knn(*fx.vectors(s, d))[0], oracles.OTHERS["dense_knn"]),
+    "dense_reverse": (lambda s, d: dense.knn(*fx.vectors(s, d))[1], oracles.OTHERS["dense_reverse"]),
+    "recall_mrr": (lambda s, d: _rounded(dense.recall(_topk("name_pair")(s, d), fx.truth(s, d)), 9), oracles.OTHERS["recall_mrr"]),
+    "jaccards": (_true({n: (lambda n=n: features.overlaps()[n]) for n in ("name_tok_jacc", "name_c3_jacc", "addr_tok_jacc")}), oracles.OTHERS["jaccards"]),
+    "number_features": (_true({n: (lambda n=n: numbers.number_features()[n]) for n in numbers.NUMBER_FEATURES}), oracles.OTHERS["number_features"]),
+    "levenshtein_sim": (_true({"lev": lambda: strings.score("lev", F.col("s_norm_name"), F.col("p_norm_name"))}), oracles.OTHERS["levenshtein_sim"]),
+    "jaro_winkler": (_true({"jw": lambda: strings.score("jw", F.col("s_fold_name"), F.col("p_fold_name"))}), oracles.OTHERS["jaro_winkler"]),
+    "damerau": (_true({"d": lambda: strings.damerau_distance(F.col("s_norm_name"), F.col("p_norm_name"))}), oracles.OTHERS["damerau"]),
+    "idf_jaccard": (lambda s, d: _rounded(features.idf_jaccard(features.token_weights(features.with_records(fx.truth(s, d), *fx.sides(fx.records(s, d))), stats.token_stats(fx.records(s, d), ("norm_name",)), "norm_name"), "name_idf_jacc")), oracles.OTHERS["idf_jaccard"]),
+    "record_text": (_raw(lambda r: r.select("entity_id", tx.record_text(F.col("raw_name"), F.col("raw_addr")).alias("text"))), oracles.OTHERS["record_text"]),
+    "id_code": (_raw(lambda r: r.select("entity_id", tx.id_code(F.col("entity_id")).alias("code"))), oracles.OTHERS["id_code"]),
+    "event_windows": (_windows, oracles.OTHERS["event_windows"]),
+    "event_sessions": (_sessions, oracles.OTHERS["event_sessions"]),
+}
+
+#: Beyond SQL (Unicode tables, alignment, learned models, random weights); tests hold them against literals or plain code.
+_ROWS_ONLY: dict[str, Query] = {
+    "token_relation": lambda s, d: _token_relations(s, d),
+    "string_scores": _true({n: (lambda n=n: features.scores()[n]) for n in features.SCORE_NAMES}),
+    "pair_features": _features,
+    "delta_features": _delta,
+    "stage1_oof": _oof,
+    "crossfit_calibrated": _pairs(lambda p: _rounded(decode.crossfit_calibrated(p))),
+    "sibling_support": _siblings,
+    "bootstrap": _bootstrap,
+    "output_checks": _checks,
+    "dice_dictionary": _dice,
+    "transliterate": _transliterated,
+    "noise_census": _profile(lambda i, t, s1, p: profile.noise_census(profile.true_pairs(t, s1, p))),
+    "hard_negatives": _profile(lambda i, t, s1, p: profile.hard_negatives(s1, p, t)),
+    "positive_sample": _profile(lambda i, t, s1, p: profile.positive_sample(profile.true_pairs(t, s1, p))),
+    "missed_pairs": lambda s, d: blocking.missed_pairs(fx.truth(s, d), _union(s, d), *fx.sides(fx.raw_records(s, d))),
+    "train_band": _pairs(split.train_band),
+    "prompts": _prompts,
+    "triplets": _triplets,
+    "scramble": _raw(lambda r: r.select("entity_id", tx.scramble(F.col("raw_name")).alias("raw_name"))),
+    "crc_sample": _raw(lambda r: split.crc_sample(r.select("entity_id"), "entity_id", 100)),
+    "script_of": _raw(lambda r: r.select("entity_id", F.explode(tx.any_script_tokens(F.col("raw_name"))).alias("token")).select("entity_id", "token", tx.script_of("token").alias("script"))),
+    "key_texts": _records(lambda r: r.select("entity_id", keys.num_key(F.col("norm_addr"), F.col("house_number")).alias("num_key"), F.size(keys.pair_keys(F.col("fold_name"), 8)).alias("n_pairs"))),
+}
+
+
+def _token_relations(s: SparkSession, d: str) -> DataFrame:
+    """The relation of each distinct pair of unequal tokens that true pairs bring together, computed once for each."""
+    pairs = features.with_records(fx.truth(s, d), *fx.sides(fx.records(s, d)))
+    a, b = F.col("s_norm_name"), F.col("p_norm_name")
+    left = pairs.select(F.explode(F.array_except(tx.tokens(a), tx.tokens(b))).alias("x"), F.array_except(tx.tokens(b), tx.tokens(a)).alias("ys"))
+    both = left.select("x", F.explode("ys").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return both.withColumn("relation", strings.relation(F.col("a"), F.col("b")))
+
+
+def queries() -> dict[str, Query]:
+    return {n: q for n, (q, _) in _WITH_SQL.items()} | _ROWS_ONLY
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: sql for n, (_, sql) in _WITH_SQL.items()}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk("name_pair")(spark, sf_dir)
