@@ -46,6 +46,19 @@ SPARSE = [
 ]
 
 
+def translit_channels(name: str = "translit_name", addr: str = "translit_addr") -> list[Channel]:
+    """Channels over transliterated text columns; a record whose other field is empty gets more candidates, in one pass."""
+    return [
+        Channel("translit_name", lambda: keys.char_grams(F.col(name)), 20, 2000, ("norm_addr", 40)),
+        Channel("translit_addr", lambda: keys.char_grams(F.col(addr)), 20, 2000, ("norm_name", 40)),
+    ]
+
+
+#: Figures of a union row that the pre-ranker reads; those of absent channels count as missing.
+PRUNE_FEATURES = ["dense_cos", "dense_cos_gap", "dense_rank", "reverse_rank", "reverse_score", "num_key_score", "n_channels", "union_size"]
+PRUNE_FEATURES += [f"{c}_{f}" for c in ("name_char", "addr_char", "name_tok", "name_pair", "addr_pair", "cross_pair", "translit_name", "translit_addr") for f in ("score", "rank", "score_gap")]
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
@@ -132,6 +145,13 @@ def prune(union: DataFrame, score: str, top: int) -> DataFrame:
     return out.where(F.col("cheap_rank") < top)
 
 
+def with_prune_features(union: DataFrame) -> DataFrame:
+    """A union table with all of PRUNE_FEATURES: gaps are added, absent columns are missing."""
+    have = [c for c in union.columns if c.endswith("_score") and c not in ("reverse_score", "num_key_score")] + ["dense_cos"] * ("dense_cos" in union.columns)
+    out = gaps(union, have)
+    return out.withColumns({c: F.lit(None).cast("double") for c in PRUNE_FEATURES if c not in out.columns})
+
+
 def candidates(s1: DataFrame, pool: DataFrame, channels: list[Channel] = SPARSE, top: int = 50, reverse: bool = True) -> DataFrame:
     """Union of the channels, pruned by the number of channels that found a pair."""
     hits = None
@@ -174,6 +194,12 @@ def channel_report(union: DataFrame, truth: DataFrame, channels: list[str] = CHA
     return out
 
 
+def miss_prior(truth: DataFrame, cands: DataFrame, ids: DataFrame) -> DataFrame:
+    """Share of ids with a true match that is no candidate: the decoder's ``q``."""
+    lost = truth.join(cands, ["s1_id", "cand_id"], "left_anti").select("s1_id").distinct().withColumn("lost", F.lit(1.0))
+    return ids.join(lost, "s1_id", "left").agg(F.avg(F.coalesce("lost", F.lit(0.0))).alias("q"))
+
+
 def missed_pairs(truth: DataFrame, cands: DataFrame, s1: DataFrame, pool: DataFrame, most: int = 200) -> DataFrame:
     """True pairs that are no candidates, with the raw fields; a report of the first ``most``."""
     side = lambda d, p: d.select(F.col("entity_id").alias(f"{p}_id"), F.col("raw_name").alias(f"{p}_name"), F.col("raw_addr").alias(f"{p}_addr"))

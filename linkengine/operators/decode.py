@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,6 +140,17 @@ def breakpoints(model: IsotonicRegressionModel) -> tuple[list[float], list[float
     return list(model.boundaries), list(model.predictions)
 
 
+def fit_platt(scored: DataFrame, p: str = "p", y: str = "label") -> tuple[float, float]:
+    """(slope, intercept) of a logistic fit on the logit."""
+    rows = scored.select(array_to_vector(F.array(logit(F.col(p)))).alias("x"), F.col(y).cast("double").alias("y"))
+    model = LogisticRegression(featuresCol="x", labelCol="y").fit(rows)
+    return float(model.coefficients[0]), float(model.intercept)
+
+
+def platt(p: Column, slope: float, intercept: float) -> Column:
+    return 1 / (1 + F.exp(-(slope * logit(p) + intercept)))
+
+
 def interpolated(p: Column, xs: list[float], ys: list[float]) -> Column:
     """Piecewise linear values between breakpoints, constant beyond them, without a model in the plan."""
     x, y = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))

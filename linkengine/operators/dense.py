@@ -30,6 +30,12 @@ def knn(queries: DataFrame, pool: DataFrame, k: int = 30, reverse_k: int = 5) ->
     return ranked(pairs, "s1_id", "cand_id", k), ranked(pairs, "cand_id", "s1_id", reverse_k)
 
 
+def pair_cosine(union: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """``dense_cos`` of every pair of a union table; rows (id, vec) on both sides."""
+    q, p = queries.select(F.col("id").alias("s1_id"), F.col("vec").alias("__q")), pool.select(F.col("id").alias("cand_id"), F.col("vec").alias("__p"))
+    return union.join(q, "s1_id", "left").join(p, "cand_id", "left").withColumn("dense_cos", dot(F.col("__q"), F.col("__p"))).drop("__q", "__p")
+
+
 def dense_channels(queries: DataFrame, pool: DataFrame, k: int = 30, reverse_k: int = 5) -> DataFrame:
     """Both directions as hits of one channel."""
     forward, back = knn(queries, pool, k, reverse_k)

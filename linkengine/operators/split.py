@@ -87,6 +87,11 @@ def infer_band(scored: DataFrame, low: float = 0.1, high: float = 0.9, most: int
     return out.limit(most) if most else out
 
 
+def queue(scored: DataFrame) -> DataFrame:
+    """The order in which splits share a judge: by distance from one half, then split, then pair."""
+    return scored.withColumn("depth", F.abs(F.col("p") - 0.5)).orderBy("depth", "split", "s1_id", "cand_id")
+
+
 def common_depth(queue: DataFrame) -> DataFrame:
     """The distance from one half that every split was scored to; rows (split, p) of what was reached."""
     return queue.groupBy("split").agg(F.max(F.abs(F.col("p") - 0.5)).alias("d")).agg(F.min("d").alias("depth"))

@@ -140,6 +140,9 @@ SELECT coalesce(country, 'ALL') AS country, count(*) AS n_s1, CAST(sum(n_true) A
   round(avg(n_cands), 2) AS cands_per_s1_mean, round(quantile_cont(n_cands, 0.95), 4) AS cands_per_s1_p95
 FROM e, np GROUP BY GROUPING SETS ((), (country))"""
 
+MISS = f"""{_UNION}, {TRUTH}, pr AS (SELECT s1_id, cand_id FROM un QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY n_channels DESC, cand_id) <= 10)
+SELECT round(avg(CASE WHEN s1_id IN (SELECT s1_id FROM truth ANTI JOIN pr USING (s1_id, cand_id)) THEN 1.0 ELSE 0.0 END), 6) AS q FROM ids"""
+
 # --- statistics --------------------------------------------------------------------------------------------------------------
 
 _STATS = f"""{NORM},

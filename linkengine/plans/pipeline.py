@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise_records
+from ..functions.text import normalise_records, scramble
 from ..operators import blocking, decode, features, model, stats
 from ..sources.stage import written
 from ..sources.tables import id_lists
@@ -82,3 +82,16 @@ def predict(linker: Linker, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     scored = written(score(linker, feats), "scored")
     ids = s1.select(F.col("entity_id").alias("s1_id"))
     return id_lists(decode.postprocess(scored, s.lam, s.mode, s.miss, s.threshold), ids), id_lists(scored, ids)
+
+
+def scrambled_drop(linker: Linker, records: DataFrame, truth: DataFrame) -> float:
+    """Macro F-beta lost when every letter is permuted: what a model has learned of the words themselves."""
+    ids = records.where("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
+    mixed = records.withColumns({c: scramble(F.col(c)) for c in ("raw_name", "raw_addr")})
+
+    def quality(rows: DataFrame) -> float:
+        matched, _ = predict(linker, rows)
+        pairs = matched.select("s1_id", F.explode(F.filter(F.split("ids", ","), lambda x: x != "")).alias("cand_id"))
+        return decode.macro_f(pairs, truth, ids).first()["macro_f05"]
+
+    return quality(records) - quality(mixed)

@@ -13,7 +13,7 @@ from ..operators import blocking, collective, decode, dense, features, judge, mo
 from ..sources import tables
 from ..sources.stage import written
 from . import fixtures as fx
-from . import oracles
+from . import oracles, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -251,6 +251,8 @@ _WITH_SQL: dict[str, tuple[Query, str]] = {
     "event_sessions": (_sessions, oracles.OTHERS["event_sessions"]),
 }
 
+_WITH_SQL["miss_prior"] = (lambda s, d: _rounded(blocking.miss_prior(fx.truth(s, d), blocking.prune(_union(s, d), "n_channels", 10), fx.ids(s, d))), oracles.MISS)
+
 #: Beyond SQL (Unicode tables, alignment, learned models, random weights); tests hold them against literals or plain code.
 _ROWS_ONLY: dict[str, Query] = {
     "token_relation": lambda s, d: _token_relations(s, d),
@@ -260,6 +262,9 @@ _ROWS_ONLY: dict[str, Query] = {
     "stage1_oof": _oof,
     "crossfit_calibrated": _pairs(lambda p: _rounded(decode.crossfit_calibrated(p))),
     "sibling_support": _siblings,
+    "pre_ranker": lambda s, d: _pre_ranked(s, d),
+    "platt": lambda s, d: _platt(s, d),
+    "link": lambda s, d: _linked(s, d),
     "bootstrap": _bootstrap,
     "output_checks": _checks,
     "dice_dictionary": _dice,
@@ -278,6 +283,23 @@ _ROWS_ONLY: dict[str, Query] = {
 }
 
 
+def _pre_ranked(s: SparkSession, d: str) -> DataFrame:
+    union = written(blocking.with_prune_features(_union(s, d)), "union")
+    return model.prune_by(model.train_pruner(union, fx.truth(s, d), rounds=5, depth=3), union, 10).select("s1_id", "cand_id", F.round("cheap_score", 6).alias("cheap_score"), "cheap_rank")
+
+
+def _platt(s: SparkSession, d: str) -> DataFrame:
+    p = fx.scored_pairs(s, d)
+    return _rounded(p.select("s1_id", "cand_id", decode.platt(F.col("p"), *decode.fit_platt(p)).alias("p")))
+
+
+def _linked(s: SparkSession, d: str) -> DataFrame:
+    """Train on the pages, then link them: the whole lifecycle in one query."""
+    raw, truth = fx.raw_records(s, d).drop("url"), fx.truth(s, d)
+    linker = pipeline.train(raw, truth, pipeline.Settings(top=10, rounds=5, depth=3))
+    return pipeline.predict(linker, raw)[0]
+
+
 def _token_relations(s: SparkSession, d: str) -> DataFrame:
     """The relation of each distinct pair of unequal tokens that true pairs bring together, computed once for each."""
     pairs = features.with_records(fx.truth(s, d), *fx.sides(fx.records(s, d)))
