@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, language, licenses, near_dedup, packing, pii, quality, substring_dedup
+from . import bpe, embedding_dedup, exact_dedup, language, licenses, near_dedup, oracles, packing, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_near_dedup": oracles.OP3_SQL,
+    "op5_substring_dedup": oracles.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op8_embedding_dedup": oracles.OP8_SQL,
     "op9_licenses": licenses.OP9_SQL,
 }
