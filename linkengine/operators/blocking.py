@@ -71,8 +71,9 @@ def weighted_postings(queries: DataFrame, pool: DataFrame, max_df: int) -> tuple
     both = queries.select(F.lit(0).alias("side"), "id", "grp", "keys").unionByName(pool.select(F.lit(1).alias("side"), "id", "grp", "keys"))
     rows = both.groupBy("grp").agg(F.count("*").alias("n"))
     posts = both.select("side", "id", "grp", F.explode("keys").alias("feat")).groupBy("side", "id", "grp", "feat").agg(F.count("*").alias("c"))
-    # one exchange on the join key serves df, weights and the join itself
-    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("grp", "feat"))).join(rows, "grp")
+    # counted before it is joined: a feature that all rows have costs a row for each task, and its join is split as skewed
+    df = posts.groupBy("grp", "feat").agg(F.count("*").alias("df")).join(rows, "grp")
+    posts = posts.join(df, ["grp", "feat"])
     posts = posts.withColumn("w", (1 + F.log("c")) * idf(F.col("n"), F.col("df")))
     norm = posts.groupBy("side", "id", "grp").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     posts = posts.join(norm, ["side", "id", "grp"]).withColumn("w", F.col("w") / F.col("norm"))

@@ -22,17 +22,28 @@ def truth_long(wide: DataFrame) -> DataFrame:
     return wide.select(F.col("source1_entity_id").alias("s1_id"), F.explode(ids).alias("cand_id"))
 
 
-def ab_split(s1: DataFrame, truth: DataFrame, share: float = A_SHARE, seed: int = 42) -> DataFrame:
-    """entity_id, country, n_matches, bucket, split: the first round(share * n) of each stratum by hash are A.
+def hash_rank(df: DataFrame, by: list[str], key: str, seed: int = 42) -> DataFrame:
+    """``df`` with ``rank`` (from 1, by hash of the key) and ``size`` of its group.
 
-    The stratum's size comes from an aggregate; ranks come from a window over the stratum, whose rows are ids only.
+    Hashes spread evenly, so a group is ranked in slices by the hash's first digits and each slice starts after the rows of
+    those before it: no task sorts more than a slice, however large a group is.
     """
+    rows = df.withColumn("__h", hash_order(key, seed)).withColumn("__b", F.substring("__h", 1, 3))
+    n = rows.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select(*by, "__b", before.alias("__before"), F.sum("__n").over(w).alias("size"))
+    own = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", key))
+    return rows.withColumn("__r", own).join(n, [*by, "__b"]).withColumn("rank", F.col("__before") + F.col("__r")).drop("__h", "__b", "__r", "__before")
+
+
+def ab_split(s1: DataFrame, truth: DataFrame, share: float = A_SHARE, seed: int = 42) -> DataFrame:
+    """entity_id, country, n_matches, bucket, split: the first round(share * n) of each stratum by hash are A."""
     n = truth.groupBy(F.col("s1_id").alias("entity_id")).agg(F.count("*").alias("n_matches"))
     rows = s1.select("entity_id", "country").join(n, "entity_id", "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)).cast("int"))
     rows = rows.withColumn("bucket", bucket(F.col("n_matches")))
-    w = Window.partitionBy("country", "bucket")
-    rank = F.row_number().over(w.orderBy(hash_order("entity_id", seed), "entity_id"))
-    return rows.withColumn("split", F.when(rank <= F.bround(F.count("*").over(w) * share), "A").otherwise("B"))
+    ranked = hash_rank(rows, ["country", "bucket"], "entity_id", seed)
+    return ranked.withColumn("split", F.when(F.col("rank") <= F.bround(F.col("size") * share), "A").otherwise("B")).drop("rank", "size")
 
 
 def pool_split(pool: DataFrame, truth: DataFrame, split: DataFrame) -> DataFrame:
