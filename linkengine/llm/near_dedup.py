@@ -1,25 +1,26 @@
 """Near-duplicate join of shingle sets by chosen paths.
 
-Documents with one shingle set form a class; the join works on classes.  Every class has ``K`` minwise values.  A tree
-branches its documents by chosen minwise tokens: the child of a node is (node, chosen coordinate, value there), so two
-classes follow one branch with a probability equal to their Jaccard similarity.  The ``ROOTS`` root branches are the
-independent trees.  A node of at most ``SMALL`` classes is compared exhaustively; a larger one branches again along
-``BRANCH`` coordinates chosen by its own path, and one that is still large at ``DEPTH`` is compared exhaustively too, cut
-into pairs of blocks so that no task holds all of it.
-
-Recall: a link of similarity s survives a branching node with probability f = 1 - (1 - s f')^BRANCH, f' that of the level
-below; for s = 0.75 all levels give at least 0.97, so that all ``ROOTS`` trees miss it with (1 - 0.75 * 0.97)^8 < 4e-5.
-Inside a node the minwise values must agree at ``CUT`` of the coordinates at least (0.75 less four standard deviations).
-
-Comparison emits no pair of classes that are already connected: first the ``NEAR`` best partners of each class go to
-exact verification on full shingle sets, then, between different components only, all that is left.  Rows therefore grow
-with the members of a group, not with its square.
+Documents with one shingle set form a class; the join works on classes.  A tree branches its classes by chosen minwise
+tokens: the child of a node is (node, chosen coordinate, value there), so two classes follow one branch with a probability
+equal to their Jaccard similarity.  The ``ROOTS`` root branches are the independent trees.  A node of at most ``SMALL``
+classes is compared exhaustively; a larger one branches again along coordinates chosen by its own path, as many as
+``BRANCHES`` says, and one that is still large at the end is compared exhaustively too, cut into pairs of blocks so that no
+task holds all of it.
+
+Recall: a link of similarity s survives a branching node with probability f = 1 - (1 - s f')^branches, f' that of the level
+below; for s = 0.75 that is 0.9375, then 0.973, so that all ``ROOTS`` trees miss it with (1 - 0.75 * 0.973)^8 < 4e-5.
+Nodes compare sketches of four bits from each of ``SKETCH`` minwise values.  Two classes of similarity s agree at a share of
+s + (1 - s) / 16 of them; ``CUT`` is that share for s = 0.75 less four standard deviations, which 0.5 does not reach.
+
+A node returns no pairs but a spanning forest of those that agree, so its rows grow with its members.  The trees of all
+forests are families; each class belongs to one.  Inside a family all pairs are compared exactly on the full shingle sets,
+again by pairs of blocks, each block pair returning a spanning forest of its confirmed links.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,20 @@ from .store import Store, partitions
 
 WORDS = 5
 PERCENT = 75
-K = 48
+K = 32
+SKETCH = 256
 ROOTS = 8
-BRANCH = 3
-DEPTH = 3
-SMALL = 256
-CUT = 0.5
-NEAR = 3
+#: Branches of a large node, level by level.
+BRANCHES = (3, 2)
+SMALL = 1024
+#: Classes of a family in one block.
+BLOCK = 256
+CUT = 0.66
+#: Columns of the incidence matrix multiplied at once.
+WIDE = 4096
 
-_A = np.random.Generator(np.random.PCG64(77)).integers(1, 2**62, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIG = "doc_id long, n_shingles long, cid long, sk array<int>"
+_A = np.random.Generator(np.random.PCG64(77)).integers(1, 2**62, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SIG = "doc_id long, n_shingles long, cid long, sk array<int>, sketch binary"
 
 
 def _class_id(x: np.ndarray) -> int:
@@ -50,22 +55,26 @@ def _class_id(x: np.ndarray) -> int:
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, cid, sk = [], [], []
+        n, cid, sk, sketch = [], [], [], []
         for x in textkit.shingle_sets(b.column(1), WORDS):
             n.append(len(x))
             cid.append(_class_id(x) if len(x) else None)
             if len(x):
-                least = np.full(K, 2**64 - 1, np.uint64)
-                for a in range(0, len(x), 4096):
-                    least = np.minimum(least, (x[a : a + 4096, None] * _A[None, :]).min(axis=0))
-                sk.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                least = np.full(SKETCH, 2**64 - 1, np.uint64)
+                for a in range(0, len(x), 512):
+                    least = np.minimum(least, (_A[:, None] * x[None, a : a + 512]).min(axis=1))
+                least >>= np.uint64(32)
+                sk.append(least[:K].astype(np.uint32).view(np.int32))
+                low = (least & np.uint64(15)).astype(np.uint8)
+                sketch.append((low[0::2] | low[1::2] << 4).tobytes())
             else:
                 sk.append(None)
+                sketch.append(None)
         flat = np.concatenate([s for s in sk if s is not None] or [np.zeros(0, np.int32)])
         off = np.concatenate([[0], np.cumsum([0 if s is None else K for s in sk])]).astype(np.int32)
         mask = np.array([s is None for s in sk] + [False])
         lists = pa.ListArray.from_arrays(pa.array(off, pa.int32(), mask=mask), pa.array(flat, pa.int32()))
-        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), lists], names=["doc_id", "n_shingles", "cid", "sk"])
+        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), lists, pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "cid", "sk", "sketch"])
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -80,27 +89,29 @@ def _children(coords: list[int] | None, branch: int):
     return F.array_distinct(F.array(*[F.xxhash64("node", p, F.element_at("sk", p + 1)) for p in pick]))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (node, cid) of nodes with two classes at least, with the count ``m``."""
-    many = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-    return rows.join(many, "node")
+def _large(rows: DataFrame) -> DataFrame:
+    """The nodes of more than ``SMALL`` classes."""
+    return rows.groupBy("node").agg(F.count("*").alias("m")).where(f"m > {SMALL}").select("node")
 
 
 def leaves(classes: DataFrame, store: Store) -> DataFrame:
-    """Rows (node, m, lo, hi, cid) of the nodes to compare; blocks lo and hi are compared with each other."""
-    level = store.save(_shared(classes.select(F.explode(_children(list(range(ROOTS)), 0)).alias("node"), "cid")), "level")
-    done = level.where(f"m <= {SMALL}")
-    for _ in range(DEPTH - 1):
-        large = level.where(f"m > {SMALL}").select("node", "cid")
+    """Rows (node, lo, hi, cid, n, sketch) of the nodes to compare; blocks lo and hi are compared with each other.
+
+    Rows of small nodes go on with their sketches; only large nodes are joined and branched again.
+    """
+    zero = F.lit(0)
+    done, rows = None, classes
+    for depth, branch in enumerate((ROOTS, *BRANCHES)):
+        children = _children(list(range(ROOTS)), 0) if depth == 0 else _children(None, branch)
+        rows = rows.select(F.explode(children).alias("node"), "cid", "n", "sketch", "sk")
+        rows = rows if depth == 0 else store.save(rows, "level")
+        large = store.save(_large(rows), "large")
+        part = rows.join(large, "node", "left_anti").select("node", zero.alias("lo"), zero.alias("hi"), "cid", "n", "sketch")
+        done = part if done is None else done.unionByName(part)
         if large.isEmpty():
-            return done.select("node", "m", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "cid")
-        grown = large.join(classes.select("cid", "sk"), "cid").select(F.explode(_children(None, BRANCH)).alias("node"), "cid")
-        level = store.save(_shared(grown), "level")
-        done = done.unionByName(level.where(f"m <= {SMALL}"))
-    done = done.select("node", "m", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "cid")
-    rest = level.where(f"m > {SMALL}").withColumn("nb", F.ceil(F.col("m") / SMALL).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    cut = rest.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    return done.unionByName(cut.select("node", "m", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cid"))
+            return done
+        rows = rows.join(large, "node", "left_semi")
+    return done.unionByName(_block_pairs(rows.select("node", "cid", "n", "sketch"), SMALL).select("node", "lo", "hi", "cid", "n", "sketch"))
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -123,58 +134,49 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _compare(best: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of classes of different components whose sketches agree: all, or the ``best`` of each class."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches):
-            if not t.num_rows:
-                continue
-            col = {c: t.column(c).to_numpy() for c in ("node", "lo", "hi", "cid", "n", "comp")}
-            sk = t.column("sk").combine_chunks().flatten().to_numpy().reshape(-1, K)
-            change = np.ones(len(sk) + 1, bool)
-            change[1:-1] = (col["node"][1:] != col["node"][:-1]) | (col["lo"][1:] != col["lo"][:-1]) | (col["hi"][1:] != col["hi"][:-1])
-            at = np.flatnonzero(change)
-            out_a, out_b = [], []
-
-            def emit(i: np.ndarray, j: np.ndarray, ok: np.ndarray, col=col, out_a=out_a, out_b=out_b) -> None:
-                a, b = col["cid"][i[ok]], col["cid"][j[ok]]
-                out_a.append(np.minimum(a, b))
-                out_b.append(np.maximum(a, b))
-
-            def fits(i, j, col=col):
-                small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
-                return (100 * small >= PERCENT * large) & (col["comp"][i] != col["comp"][j])
-
-            size = np.diff(at)
-            two = at[:-1][size == 2]
-            if len(two):
-                emit(two, two + 1, fits(two, two + 1) & ((sk[two] == sk[two + 1]).mean(axis=1) >= CUT))
-            for a, m in zip(at[:-1][size > 2], size[size > 2], strict=True):
-                x = sk[a : a + m]
-                for r in range(0, m, 64):
-                    i = np.arange(r, min(r + 64, m))
-                    est = (x[i][:, None, :] == x[None, :, :]).mean(axis=2)
-                    ok = (est >= CUT) & fits(a + i[:, None], a + np.arange(m)[None, :])
-                    if best:
-                        est = np.where(ok, est, 0)
-                        top = np.argsort(-est, axis=1, kind="stable")[:, :best]
-                        rows = np.repeat(np.arange(len(i)), top.shape[1])
-                        good = est[rows, top.ravel()] > 0
-                        emit(a + i[rows], a + top.ravel(), good)
-                    else:
-                        p, q = np.nonzero(ok & (i[:, None] < np.arange(m)[None, :]))
-                        emit(a + i[p], a + q, np.ones(len(p), bool))
-            pairs = np.unique(np.stack([np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])], axis=1), axis=0)
-            yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
-
-    return run
-
-
-def _pairs(rows: DataFrame, best: int) -> DataFrame:
-    spark = rows.sparkSession
-    dealt = rows.repartition(partitions(spark), "node", "lo", "hi").sortWithinPartitions("node", "lo", "hi")
-    return dealt.select("node", "lo", "hi", "cid", "n", "comp", "sk").mapInArrow(_compare(best), "a long, b long").distinct()
+def _forest(near: np.ndarray) -> np.ndarray:
+    """The least index reachable from each index of a symmetric matrix."""
+    m = len(near)
+    label = np.arange(m)
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], m).min(axis=1, initial=m))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the classes of each node whose sketches agree."""
+    for t in _runs(batches):
+        if not t.num_rows:
+            continue
+        col = {c: t.column(c).to_numpy() for c in ("node", "lo", "hi", "cid", "n")}
+        packed = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 2)
+        sk = np.concatenate([packed & 15, packed >> 4], axis=1)
+        change = np.ones(len(sk) + 1, bool)
+        change[1:-1] = (col["node"][1:] != col["node"][:-1]) | (col["lo"][1:] != col["lo"][:-1]) | (col["hi"][1:] != col["hi"][:-1])
+        at = np.flatnonzero(change)
+        size = np.diff(at)
+        low, high = col["n"], col["cid"]
+        two = at[:-1][size == 2]
+        fits = 100 * np.minimum(low[two], low[two + 1]) >= PERCENT * np.maximum(low[two], low[two + 1])
+        two = two[fits & ((sk[two] == sk[two + 1]).mean(axis=1) >= CUT)]
+        out_u, out_v = [high[two]], [high[two + 1]]
+        for a, m in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            x, n = sk[a : a + m], low[a : a + m]
+            near = 100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :])
+            for r in range(0, m, 64):
+                near[r : r + 64] &= (x[r : r + 64, None, :] == x[None, :, :]).mean(axis=2) >= CUT
+            label = _forest(near)
+            own = np.flatnonzero(label != np.arange(m))
+            out_u.append(high[a + own])
+            out_v.append(high[a + label[own]])
+        yield pa.record_batch([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], names=["u", "v"])
+
+
+def _sorted_groups(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "node", "lo", "hi").sortWithinPartitions("node", "lo", "hi")
 
 
 def _full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,20 +190,44 @@ def _full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(cids[a : a + 500], pa.int64()), pa.array(sets[a : a + 500], pa.binary())], names=["cid", "hashes"])
 
 
-def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in batches:
-        ok, last, x = [], None, None
-        for a, p, q in zip(t.column(0).to_pylist(), t.column(2), t.column(3), strict=True):
-            if a != last:
-                last, x = a, np.frombuffer(p.as_buffer(), np.uint64)
-            y = np.frombuffer(q.as_buffer(), np.uint64)
-            s, r = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(r, s)
-            at[at == len(r)] = 0
-            both = int((r[at] == s).sum())
-            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        keep = pa.array(ok, pa.bool_())
-        yield pa.record_batch([t.column(0).filter(keep), t.column(1).filter(keep)], names=["u", "v"])
+def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links of each block pair of a family, on full sets."""
+    for t in _runs(batches):
+        key = np.stack([t.column(c).to_numpy() for c in ("node", "lo", "hi")], axis=1)
+        cid = t.column("cid").to_numpy()
+        at = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))), len(key))
+        raw = t.column("hashes").to_pylist()
+        u, v = [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            sets = [np.frombuffer(x, np.uint64) for x in raw[a:b]]
+            n = np.array([len(x) for x in sets])
+            owner = np.repeat(np.arange(b - a), n)
+            h = np.concatenate(sets)
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], owner[order]
+            new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+            number = np.cumsum(new) - 1
+            shared = np.bincount(number)[number] > 1 if len(h) else new
+            owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
+            both = np.zeros((b - a, b - a), np.float64)
+            for c in range(0, int(number.max(initial=-1)) + 1, WIDE):
+                x, y = np.searchsorted(number, [c, c + WIDE])
+                part = np.zeros((b - a, WIDE), np.float32)
+                part[owner[x:y], number[x:y] - c] = 1
+                both += part @ part.T
+            label = _forest(100 * both >= PERCENT * (n[:, None] + n[None, :] - both))
+            own = np.flatnonzero(label != np.arange(b - a))
+            u.append(cid[a + own])
+            v.append(cid[a + label[own]])
+        yield pa.record_batch([pa.array(np.concatenate(u or [np.zeros(0, np.int64)])), pa.array(np.concatenate(v or [np.zeros(0, np.int64)]))], names=["u", "v"])
+
+
+def _block_pairs(members: DataFrame, block: int) -> DataFrame:
+    """Rows (node, cid, ...) -> rows (node, lo, hi, cid, ...), one for each block pair that the row's block is in."""
+    size = members.groupBy("node").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    own = F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int").alias("own")
+    dealt = members.join(size, "node").select("*", own).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("nb", "own", "other")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,29 +240,16 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     spark = docs.sparkSession
     store = Store(spark, "near")
     sig = store.save(signatures(docs, doc_id, text), "sig")
-    cls = sig.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("sk").alias("sk"))
+    cls = sig.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("sk").alias("sk"), F.first("sketch").alias("sketch"))
     cls = store.save(cls, "classes")
-    nodes = leaves(cls, store)
-    rows = store.save(nodes.join(cls.select("cid", "n", "sk"), "cid"), "nodes")
-    first = store.save(_pairs(rows.withColumn("comp", F.col("cid")), NEAR), "pairs")
-    held = first.select(F.col("a").alias("cid")).unionByName(first.select(F.col("b").alias("cid"))).distinct()
-    held = store.save(held.join(cls.select("cid", "rid"), "cid").where("rid is not null"), "held")
+    agree = _sorted_groups(leaves(cls, store)).mapInArrow(_compare, "u long, v long")
+    family = store.save(components(agree, store).join(cls.select(F.col("cid").alias("id"), "rid"), "id").where("rid is not null"), "family")
     source = docs.select(F.col(doc_id).cast("long").alias("rid"), F.col(text).cast("string").alias("text"))
-    sets = source.join(held.hint("shuffle_hash"), "rid").select("cid", "text").mapInArrow(_full, "cid long, hashes binary").dropDuplicates(["cid"])
+    sets = source.join(family.hint("shuffle_hash"), "rid").select("id", "text").mapInArrow(_full, "cid long, hashes binary").dropDuplicates(["cid"])
     sets = store.save(sets, "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
-        both = left.join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_verify, "u long, v long")
-
-    links = store.save(verified(first), "links")
-    comp = store.save(components(links, store), "comp")
-    label = F.coalesce("c", "cid").alias("comp")
-    named = rows.join(comp.select(F.col("id").alias("cid"), F.col("comp").alias("c")), "cid", "left").select(*[c for c in rows.columns], label)
-    rest = _pairs(named, 0).join(first, ["a", "b"], "left_anti")
-    more = store.save(verified(rest), "links")
-    comp = components(links.unionByName(more), store)
+    dealt = _block_pairs(family.select(F.col("comp").alias("node"), F.col("id").alias("cid")), BLOCK).join(sets, "cid")
+    links = _sorted_groups(dealt.select("node", "lo", "hi", "cid", "hashes")).mapInArrow(_confirm, "u long, v long")
+    comp = components(links, store)
     top = cls.select("cid", "rid").join(comp.select(F.col("id").alias("cid"), F.col("comp").alias("c")), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     least = top.groupBy("c").agg(F.min("rid").alias("component_id"))
     named = store.save(top.join(least, "c").select("cid", "component_id"), "named")
