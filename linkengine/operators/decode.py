@@ -137,7 +137,7 @@ def fit_isotonic(scored: DataFrame, p: str = "p", y: str = "label") -> IsotonicR
 
 
 def breakpoints(model: IsotonicRegressionModel) -> tuple[list[float], list[float]]:
-    return list(model.boundaries), list(model.predictions)
+    return [float(x) for x in model.boundaries], [float(y) for y in model.predictions]
 
 
 def fit_platt(scored: DataFrame, p: str = "p", y: str = "label") -> tuple[float, float]:
