@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +30,11 @@ BUCKETS = 1 << 16
 STEPS = 240
 BATCH = 64
 LENGTH = 40
-#: Distinct words kept in a worker's cache of emissions.
-CACHE = 400_000
+#: Distinct words in a task's cache of emissions; a full one falls back to those met first, which are the frequent ones.
+CACHE, KEEP = 400_000, 150_000
 UNKNOWN = "und"
 #: Bytes of text whose words are labelled at once.
-CHUNK = 8 << 20
+CHUNK = 5 << 20
 
 _MIXED = textkit._GRAM
 
@@ -217,8 +219,8 @@ class Labeller:
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.number) > CACHE:
-            self.number.clear()
-            self.scores, self.has = self.scores[:0], self.has[:0]
+            self.number = dict(islice(self.number.items(), KEEP))
+            self.scores, self.has = self.scores[:KEEP].copy(), self.has[:KEEP].copy()
         new = list(words.difference(self.number))
         if new:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
@@ -260,7 +262,7 @@ def _predict(model: Crf):
                     row = np.repeat(np.arange(n), np.diff(first))[has]
                     mean = np.stack([np.bincount(row, post[has, c], n) for c in range(len(model.labels))], axis=1)
                     count = np.bincount(row, minlength=n)
-                    mean /= np.maximum(count, 1)[:, None]
+                    mean = mean / np.maximum(count, 1)[:, None]
                     best = mean.argmax(axis=1)
                     pred = [model.labels[j] if c else UNKNOWN for j, c in zip(best.tolist(), count.tolist(), strict=True)]
                     score = np.where(count > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
@@ -318,10 +320,23 @@ def label_words(docs: DataFrame, model: Crf) -> DataFrame:
 LEAST_SCORE = 0.4
 
 
+def _known(model: Crf, text: int):
+    """Whole rows; ``text`` is the place of the text's column."""
+    predict = _predict(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pa.record_batch([pa.nulls(b.num_rows, pa.int64()), b.column(text)], names=["doc_id", "text"])
+            out = pa.Table.from_batches(list(predict([rows])))
+            known = pc.and_(pc.not_equal(out["lang_pred"], UNKNOWN), pc.greater_equal(out["score"], LEAST_SCORE)).combine_chunks() if b.num_rows else pa.array([], pa.bool_())
+            yield b.filter(known)
+
+    return run
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language is unknown; all columns stay."""
-    bad = language_id(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == bad["__gone"], "left_anti")
+    """``docs`` without those whose language is unknown; all columns stay, and no row moves."""
+    return docs.mapInArrow(_known(train(docs), docs.columns.index("text")), docs.schema)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
