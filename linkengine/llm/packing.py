@@ -17,6 +17,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ from .store import Store, partitions
 CAPACITY = 2048
 #: The id that ends each document.
 END = 0
-#: White-space slices kept in a worker's cache of ids.
-CACHE = 1_000_000
+#: White-space slices in a worker's cache of ids; when it is full and between tasks it falls back to the ones met first,
+#: which are the frequent ones.
+CACHE, KEEP = 700_000, 250_000
 
 
 class SliceTokenizer:
@@ -52,10 +54,8 @@ class SliceTokenizer:
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
-    def learn(self, slices: set[bytes]) -> None:
-        if len(self.ids) > CACHE:
-            self.ids.clear()
-        new = [s for s in slices if s not in self.ids]
+    def learn(self, new: list[bytes]) -> None:
+        """Ids of slices that the cache has not."""
         alone = [s for s in new if self.mark is None or self.MARK.encode() in s]
         for s in alone:
             self.ids[s] = np.array(self.tokenizer.encode(s.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,14 +74,25 @@ class SliceTokenizer:
                     self.ids[s] = raw[4 * at : 4 * end]
                     at = end + 1
 
+    def trim(self) -> None:
+        if len(self.ids) > KEEP:
+            self.ids = dict(islice(self.ids.items(), KEEP))
+
     def batch(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, the end id last."""
         end = np.array([END], "<u4").tobytes()
         # the names of special tokens are matched before lower-casing
         cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self.learn(set().union(*cut))
-        for slices in cut:
-            yield b"".join(map(self.ids.__getitem__, slices)) + end
+        if len(self.ids) > CACHE:
+            self.trim()
+        found = [list(map(self.ids.get, slices)) for slices in cut]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        self.learn(list({slices[i] for slices, gap in zip(cut, gaps, strict=True) for i in gap}))
+        for slices, ids, gap in zip(cut, found, gaps, strict=True):
+            for i in gap:
+                ids[i] = self.ids[slices[i]]
+            ids.append(end)
+            yield b"".join(ids)
 
 
 @lru_cache(1)
@@ -109,6 +120,7 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))))
                     names.append("ids")
                 yield pa.record_batch(out, names=names)
+        tok.trim()
 
     return run
 
