@@ -14,6 +14,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ L, N, SP, WS, O, A2, A3 = range(7)
 S0, SL, SN, SO, SB, C1, C2 = range(7)
 RESET, WIDTH = 8, 8
 BLOCK = 64
-#: Slices kept in a worker's cache of merged pieces.
-CACHE = 400_000
+#: Slices in a worker's cache of merged pieces; a full one falls back to those met first, which are the frequent ones.
+CACHE, KEEP = 400_000, 150_000
 
 
 def _machine() -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +176,7 @@ class Codec:
         """Merge the slices that the cache has not."""
         distinct = set(tokens)
         if len(self.ids) > CACHE:
-            self.ids.clear()
-            self.text.clear()
+            self.ids, self.text = (dict(islice(d.items(), KEEP)) for d in (self.ids, self.text))
         for t in distinct.difference(self.ids):
             ids = self._merge(t)
             self.ids[t] = np.array(ids, "<u4").tobytes()
