@@ -38,7 +38,7 @@ SKETCH = 256
 ROOTS = 8
 #: Branches of a large node, level by level.
 BRANCHES = (3, 2)
-SMALL = 1024
+SMALL = 2048
 #: Classes of a family in one block.
 BLOCK = 256
 CUT = 0.66
@@ -166,8 +166,8 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, m in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
             x, n = sk[a : a + m], low[a : a + m]
             near = 100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :])
-            for r in range(0, m, 64):
-                near[r : r + 64] &= (x[r : r + 64, None, :] == x[None, :, :]).mean(axis=2) >= CUT
+            for r in range(0, m, 32):
+                near[r : r + 32] &= (x[r : r + 32, None, :] == x[None, :, :]).mean(axis=2) >= CUT
             label = _forest(near)
             own = np.flatnonzero(label != np.arange(m))
             out_u.append(high[a + own])
