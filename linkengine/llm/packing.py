@@ -31,7 +31,7 @@ CAPACITY = 2048
 END = 0
 #: White-space slices in a worker's cache of ids; when it is full and between tasks it falls back to the ones met first,
 #: which are the frequent ones.
-CACHE, KEEP = 700_000, 250_000
+CACHE, KEEP = 700_000, 450_000
 
 
 class SliceTokenizer:
