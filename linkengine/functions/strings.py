@@ -38,14 +38,34 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text against a window of the longer one, cut at its ends too."""
+    """Best ratio of the shorter text against a window of the longer one, cut at its ends too.
+
+    A window's letters bound its ratio, so windows are tried from the best bound down until no bound can win.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n, letters = len(a), set(a)
-    windows = [b[max(0, i) : i + n] for i in range(1 - n, len(b))]
-    return max((ratio(a, w) for w in windows if w[0] in letters or w[-1] in letters), default=0.0)
+    n, need, have, common = len(a), Counter(a), Counter(), 0
+    bounds = []
+    for end in range(1, len(b) + n):
+        if end <= len(b):
+            ch = b[end - 1]
+            common += have[ch] < need[ch]
+            have[ch] += 1
+        if end > n:
+            ch = b[end - n - 1]
+            have[ch] -= 1
+            common -= have[ch] < need[ch]
+        lo, hi = max(0, end - n), min(end, len(b))
+        if common:
+            bounds.append((200.0 * common / (n + hi - lo), lo, hi))
+    best = 0.0
+    for bound, lo, hi in sorted(bounds, reverse=True):
+        if bound <= best:
+            break
+        best = max(best, ratio(a, b[lo:hi]))
+    return best
 
 
 def token_sort_ratio(a: str, b: str) -> float:
@@ -123,22 +143,24 @@ def damerau(a: str, b: str) -> int:
     return d[-1][-1]
 
 
+#: Marks a matched letter; no text holds this noncharacter.
+TAKEN = "\U0010ffff"
+
+
 def jaro(a: str, b: str) -> float:
     if not a or not b:
         return float(a == b)
-    reach = max(len(a), len(b)) // 2 - 1
-    free = [True] * len(b)
-    left = []
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    rest, left = b, []
     for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == x:
-                free[j] = False
-                left.append(x)
-                break
+        j = rest.find(x, max(0, i - reach), i + reach + 1)
+        if j >= 0:
+            rest = rest[:j] + TAKEN + rest[j + 1 :]
+            left.append(x)
     m = len(left)
     if not m:
         return 0.0
-    right = [y for y, f in zip(b, free, strict=True) if not f]
+    right = [y for y, r in zip(b, rest, strict=True) if r == TAKEN]
     swaps = sum(x != y for x, y in zip(left, right, strict=True)) // 2
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
