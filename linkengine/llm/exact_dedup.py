@@ -173,7 +173,10 @@ def maintain(live: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFra
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns stay."""
+    """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns stay.
+
+    Rows that share an id are one document and go together; rows without an id cannot be named and stay.
+    """
     gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
 

@@ -260,7 +260,10 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; all columns stay."""
+    """``docs`` with one document of each near-duplicate group; all columns stay.
+
+    Rows that share an id are one document and go together; rows without an id cannot be named and stay.
+    """
     gone = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
@@ -25,14 +26,19 @@ def odd(spark):
     return spark.createDataFrame([(d, t, "en", "s", 1) for d, t in ODD], SCHEMA).withColumns({"ids": F.lit(1), "piece": F.lit("p"), "score": F.lit(0)})
 
 
-@pytest.fixture(scope="module")
-def tik():
+@lru_cache(1)
+def both():
     import tiktoken
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={}), bpe.codec(path)
 
 
+@pytest.fixture(scope="module")
+def tik():
+    return both()
+
+
 ALPHABET = list("aZé1٣ \n\t'.,!stredmvl漢🙂̈　\x1c ") + ["'s", "'re", "'ll", "'ve", "  "]
 
 
@@ -48,17 +54,11 @@ def test_bpe_equals_tiktoken(tik):
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=30))
-def test_bpe_any_text(tik_text):
-    import tiktoken
-
-    path = P.path("byte_bpe_multi_50k.tiktoken")
-    codec = bpe.codec(path)
-    enc = _enc.setdefault(0, None) or _enc.update({0: tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})}) or _enc[0]
-    assert codec.decode(np.array(codec.encode(tik_text), np.int64)).tobytes() == tik_text.encode()
-    assert codec.encode(tik_text) == enc.encode_ordinary(tik_text)
-
-
-_enc: dict = {}
+def test_bpe_any_text(text):
+    enc, codec = both()
+    ids = codec.encode(text)
+    assert ids == enc.encode_ordinary(text)
+    assert codec.decode(np.array(ids, np.int64)).tobytes() == text.encode()
 
 
 def test_own_merging(tik):
