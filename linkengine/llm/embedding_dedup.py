@@ -43,22 +43,26 @@ def _blocks(d: int) -> list[np.ndarray]:
     return [b for b in np.array_split(np.arange(d), BLOCKS) if len(b)]
 
 
-def _unpack(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _unpack(raw: list[bytes], kind: str) -> np.ndarray:
+    """Rows of doubles; vectors travel in the type they came in, which loses nothing."""
+    return np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
 
 
-def _valid(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, vector as doubles; null where the vector links with nothing."""
-    for b in batches:
-        out = []
-        for v in b.column(1):
-            x = None
-            if v.is_valid and v.values.null_count == 0 and len(v.values):
-                x = np.asarray(v.values, np.float64) + 0.0  # -0.0 becomes 0.0
-                if not np.isfinite(x).all() or not x.any():
-                    x = None
-            out.append(None if x is None else x.tobytes())
-        yield pa.record_batch([b.column(0), pa.array(out, pa.binary()), b.column(2)], names=["vec_id", "vec", "label"])
+def _valid(kind: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """id, packed vector; null where the vector links with nothing."""
+        for b in batches:
+            out = []
+            for v in b.column(1):
+                x = None
+                if v.is_valid and v.values.null_count == 0 and len(v.values):
+                    x = np.asarray(v.values, kind) + 0  # -0.0 becomes 0.0
+                    if not np.isfinite(x).all() or not x.any():
+                        x = None
+                out.append(None if x is None else x.astype(kind).tobytes())
+            yield pa.record_batch([b.column(0), pa.array(out, pa.binary()), b.column(2)], names=["vec_id", "vec", "label"])
+
+    return run
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -66,16 +70,18 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _visits(cosine: float):
+def _visits(cosine: float, kind: str, homes: bool):
+    """All visits of a vector's balls to cells, with the vectors; or only the label and cell of each ``homes``."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn: dict[int, np.ndarray] = {}
         for b in batches:
             raw, dims = b.column(1).to_pylist(), b.column(3).to_numpy()
-            size = np.array([len(x) // 8 for x in raw])
+            size = np.array([len(x) // np.dtype(kind).itemsize for x in raw])
             for d in np.unique(size):
                 rows = np.flatnonzero(size == d)
                 turn.setdefault(int(d), rotation(int(d)))
-                y = _units(_unpack([raw[i] for i in rows])) @ turn[int(d)]
+                y = _units(_unpack([raw[i] for i in rows], kind)) @ turn[int(d)]
                 blocks = _blocks(int(d))
                 r = np.sqrt((2 - 2 * cosine) / len(blocks) + SLACK)
                 for k, own in enumerate(blocks):
@@ -89,18 +95,22 @@ def _visits(cosine: float):
                             key = np.full(len(part), (k * 1000 + d), np.int64)
                             for j in range(z.shape[1]):
                                 key = key * np.int64(1_000_003) + cell[:, j]
+                            at_home = (cell == home).all(axis=1)
+                            if homes:
+                                yield pa.record_batch([b.column(2).take(pa.array(part[at_home])), pa.array(key[at_home])], names=["label", "cell"])
+                                continue
                             i = pa.array(part)
                             yield pa.record_batch(
-                                [b.column(0).take(i), b.column(1).take(i), b.column(2).take(i), b.column(4).take(i), pa.array(np.full(len(part), k, np.int32)), pa.array(key), pa.array((cell == home).all(axis=1))],
+                                [b.column(0).take(i), b.column(1).take(i), b.column(2).take(i), b.column(4).take(i), pa.array(np.full(len(part), k, np.int32)), pa.array(key), pa.array(at_home)],
                                 names=["id", "vec", "label", "w", "block", "cell", "home"],
                             )
 
     return run
 
 
-def _links(cosine: float):
+def _links(cosine: float, kind: str):
     def cell(t: pa.Table) -> pa.RecordBatch:
-        x = _unpack(t.column("vec").to_pylist())
+        x = _unpack(t.column("vec").to_pylist(), kind)
         block = t.column("block")[0].as_py()
         ids, w = t.column("id").to_numpy(), t.column("w").to_numpy()
         h = np.flatnonzero(t.column("home").to_numpy(zero_copy_only=False))
@@ -180,8 +190,10 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     """
     spark = vectors.sparkSession
     store, n = Store(spark, "embeddings"), partitions(vectors.sparkSession)
-    own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"), F.col(label).cast("string").alias("label"))
-    rows = own.mapInArrow(_valid, "vec_id long, vec binary, label string")
+    kind = "<f4" if dict(vectors.dtypes)[embedding] == "array<float>" else "<f8"
+    typed = F.col(embedding) if kind == "<f4" else F.col(embedding).cast("array<double>")
+    own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), typed.alias("e"), F.col(label).cast("string").alias("label"))
+    rows = own.mapInArrow(_valid(kind), "vec_id long, vec binary, label string")
     key = F.when(F.col("vec").isNotNull() & F.col("label").isNotNull(), F.xxhash64("label", "vec")).alias("id")
     rows = store.save(rows.select("vec_id", "vec", "label", key), "rows")
     alone = rows.where("id is not null").groupBy("id", "label", "vec").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"))
@@ -189,13 +201,16 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     size = alone.groupBy("label").agg(F.count("*").alias("m"))
     grid = F.greatest(F.lit(1), F.ceil(F.log(F.col("m") / CELL) / -float(np.log(KEEP)))).cast("int").alias("dims")
     deal = alone.join(size, "label").select("id", "vec", "label", grid, "w")
-    visits = store.save(deal.repartition(n).mapInArrow(_visits(cosine), "id long, vec binary, label string, w long, block int, cell long, home boolean"), "visits")
-    homes = visits.where("home").groupBy("label", "cell").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
-    dealt = visits.join(homes, ["label", "cell"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    deal = deal.repartition(n)
+    homes = deal.mapInArrow(_visits(cosine, kind, True), "label string, cell long").groupBy("label", "cell").count()
+    parts = store.save(homes.where(f"count > {SPLIT}").select("label", "cell", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")), "parts")
+    visits = deal.mapInArrow(_visits(cosine, kind, False), "id long, vec binary, label string, w long, block int, cell long, home boolean")
+    dealt = visits.join(parts, ["label", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = dealt.withColumn("home", F.expr("home and pmod(xxhash64(id), parts) = part"))
     cells = dealt.repartition(n, "label", "cell", "part").sortWithinPartitions("label", "cell", "part")
-    found = cells.select("id", "vec", "label", "w", "block", "cell", "home", "part").mapInArrow(_links(cosine), "id long, links long, near long")
-    found = store.save(found, "found")
+    links = cells.select("id", "vec", "label", "w", "block", "cell", "home", "part").mapInArrow(_links(cosine, kind), "id long, links long, near long")
+    found = store.save(links, "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("u"), F.col("near").alias("v")), store)
     named = alone.select("id", "w", "least").join(links, "id", "left").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
