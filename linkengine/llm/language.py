@@ -31,10 +31,10 @@ STEPS = 240
 BATCH = 64
 LENGTH = 40
 #: Distinct words in a task's cache of emissions; a full one falls back to those met first, which are the frequent ones.
-CACHE, KEEP = 400_000, 150_000
+CACHE, KEEP = 250_000, 120_000
 UNKNOWN = "und"
 #: Bytes of text whose words are labelled at once.
-CHUNK = 5 << 20
+CHUNK = 3 << 20
 
 _MIXED = textkit._GRAM
 
