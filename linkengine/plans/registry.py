@@ -39,16 +39,18 @@ def _topk(name: str) -> Query:
     return lambda s, d: blocking.channel_hits(*fx.sides(fx.records(s, d)), channel).drop("channel")
 
 
+#: The channels of the union's SQL; queries without SQL take all of blocking.SPARSE.
 _SOME = ["name_tok", "num_key", "name_pair"]
+_ALL = [c.name for c in blocking.SPARSE]
 
 
-def _union(s: SparkSession, d: str) -> DataFrame:
+def _union(s: SparkSession, d: str, channels: list[str] = _SOME) -> DataFrame:
     s1, pool = fx.sides(written(fx.records(s, d), "records"))
     hits = blocking.reverse_hits(s1, pool)
     for c in blocking.SPARSE:
-        if c.name in _SOME:
+        if c.name in channels:
             hits = hits.unionByName(blocking.channel_hits(s1, pool, c))
-    return blocking.union_hits(hits, [*_SOME, "reverse"])
+    return blocking.union_hits(hits, [*channels, "reverse"])
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
@@ -89,8 +91,7 @@ def _isotonic(s: SparkSession, d: str) -> DataFrame:
 def _cands(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = written(fx.records(s, d), "records")
     s1, pool = fx.sides(rows)
-    some = [c for c in blocking.SPARSE if c.name in _SOME]
-    return written(blocking.candidates(s1, pool, some, top=10), "candidates"), s1, pool, written(stats.token_stats(rows), "stats")
+    return written(blocking.candidates(s1, pool), "candidates"), s1, pool, written(stats.token_stats(rows), "stats")
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
@@ -103,19 +104,9 @@ def _delta(s: SparkSession, d: str) -> DataFrame:
     return features.delta_features(cands, earlier, s1, pool, st)
 
 
-QUICK_FEATURES = [*features.meta_names(), *[f"{f}_{k}" for f, k in features.QUICK]]
-
-
-def _quick(s: SparkSession, d: str) -> DataFrame:
-    """Labelled candidates with the pre-ranking features only."""
-    cands, s1, pool, _ = _cands(s, d)
-    pairs = features.with_records(cands.select("s1_id", "cand_id"), s1, pool)
-    text = pairs.select("s1_id", "cand_id", *[c.alias(n) for n, c in features.scores(features.QUICK).items()])
-    return written(model.labelled(features.meta(cands).join(text, ["s1_id", "cand_id"]), fx.truth(s, d)), "features")
-
-
 def _oof(s: SparkSession, d: str) -> DataFrame:
-    out = model.out_of_fold(_quick(s, d), QUICK_FEATURES, k=2, rounds=5, depth=3)
+    rows = written(model.labelled(_features(s, d), fx.truth(s, d)), "labelled")
+    out = model.out_of_fold(rows, features.FEATURES)
     return out.select("s1_id", "cand_id", "label", "fold", F.round("p", 6).alias("p"))
 
 
@@ -272,7 +263,7 @@ _ROWS_ONLY: dict[str, Query] = {
     "noise_census": _profile(lambda i, t, s1, p: profile.noise_census(profile.true_pairs(t, s1, p))),
     "hard_negatives": _profile(lambda i, t, s1, p: profile.hard_negatives(s1, p, t)),
     "positive_sample": _profile(lambda i, t, s1, p: profile.positive_sample(profile.true_pairs(t, s1, p))),
-    "missed_pairs": lambda s, d: blocking.missed_pairs(fx.truth(s, d), _union(s, d), *fx.sides(fx.raw_records(s, d))),
+    "missed_pairs": lambda s, d: blocking.missed_pairs(fx.truth(s, d), _union(s, d, _ALL), *fx.sides(fx.raw_records(s, d))),
     "train_band": _pairs(split.train_band),
     "prompts": _prompts,
     "triplets": _triplets,
@@ -284,8 +275,8 @@ _ROWS_ONLY: dict[str, Query] = {
 
 
 def _pre_ranked(s: SparkSession, d: str) -> DataFrame:
-    union = written(blocking.with_prune_features(_union(s, d)), "union")
-    return model.prune_by(model.train_pruner(union, fx.truth(s, d), rounds=5, depth=3), union, 10).select("s1_id", "cand_id", F.round("cheap_score", 6).alias("cheap_score"), "cheap_rank")
+    union = written(blocking.with_prune_features(_union(s, d, _ALL)), "union")
+    return model.prune_by(model.train_pruner(union, fx.truth(s, d)), union, pipeline.Settings().top).select("s1_id", "cand_id", F.round("cheap_score", 6).alias("cheap_score"), "cheap_rank")
 
 
 def _platt(s: SparkSession, d: str) -> DataFrame:
@@ -296,7 +287,7 @@ def _platt(s: SparkSession, d: str) -> DataFrame:
 def _linked(s: SparkSession, d: str) -> DataFrame:
     """Train on the pages, then link them: the whole lifecycle in one query."""
     raw, truth = fx.raw_records(s, d).drop("url"), fx.truth(s, d)
-    linker = pipeline.train(raw, truth, pipeline.Settings(top=10, rounds=5, depth=3))
+    linker = pipeline.train(raw, truth)
     return pipeline.predict(linker, raw)[0]
 
 
