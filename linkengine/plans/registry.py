@@ -136,7 +136,7 @@ def _checks(s: SparkSession, d: str) -> DataFrame:
 def _bootstrap(s: SparkSession, d: str) -> DataFrame:
     p, t, i = fx.scored_pairs(s, d), fx.order_truth(s, d), fx.order_ids(s, d)
     one = lambda cut, n: decode.entity_f(decode.threshold(p, cut), t, i).select("s1_id", F.col("f").alias(n))
-    return _rounded(decode.bootstrap_diff(one(0.5, "a").join(one(0.6, "b"), "s1_id"), rounds=100))
+    return _rounded(decode.bootstrap_diff(one(0.5, "a").join(one(0.6, "b"), "s1_id")))
 
 
 def _dice(s: SparkSession, d: str) -> DataFrame:

@@ -57,3 +57,11 @@ def test_link_settings(spark, monkeypatch):
 
     monkeypatch.setattr(pipeline, "train", train)
     assert caught(lambda: registry.queries()["link"](spark, SF)) == (pipeline.Settings(),)
+
+
+def test_bootstrap_rounds(spark, monkeypatch):
+    def diff(per_entity, **params):
+        raise Caught(params)
+
+    monkeypatch.setattr(registry.decode, "bootstrap_diff", diff)
+    assert caught(lambda: registry.queries()["bootstrap"](spark, SF)) == ({},)
