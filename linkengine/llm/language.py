@@ -316,10 +316,6 @@ def label_words(docs: DataFrame, model: Crf) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, labels array<string>")
 
 
-#: The pipeline rejects documents without a language or below this score.
-LEAST_SCORE = 0.4
-
-
 def _known(model: Crf, text: int):
     """Whole rows; ``text`` is the place of the text's column."""
     predict = _predict(model)
@@ -328,7 +324,7 @@ def _known(model: Crf, text: int):
         for b in batches:
             rows = pa.record_batch([pa.nulls(b.num_rows, pa.int64()), b.column(text)], names=["doc_id", "text"])
             out = pa.Table.from_batches(list(predict([rows])))
-            known = pc.and_(pc.not_equal(out["lang_pred"], UNKNOWN), pc.greater_equal(out["score"], LEAST_SCORE)).combine_chunks() if b.num_rows else pa.array([], pa.bool_())
+            known = pc.not_equal(out["lang_pred"], UNKNOWN).combine_chunks() if b.num_rows else pa.array([], pa.bool_())
             yield b.filter(known)
 
     return run
