@@ -8,9 +8,12 @@ classes is compared exhaustively; a larger one branches again along coordinates
 task holds all of it.
 
 Recall: a link of similarity s survives a branching node with probability f = 1 - (1 - s f')^branches, f' that of the level
-below; for s = 0.75 that is 0.9375, then 0.973, so that all ``ROOTS`` trees miss it with (1 - 0.75 * 0.973)^8 < 4e-5.
+below; for s = 0.75 that is 0.9375, then 0.973, so that all ``ROOTS`` trees miss it with (1 - 0.75 * 0.973)^8 < 3e-5
+if their draws were independent; branches draw from the ``K`` values of the roots, so that this is an estimate.
 Nodes compare sketches of four bits from each of ``SKETCH`` minwise values.  Two classes of similarity s agree at a share of
 s + (1 - s) / 16 of them; ``CUT`` is that share for s = 0.75 less four standard deviations, which 0.5 does not reach.
+The sketch is the same in all trees: a link at 0.75 has fewer than 169 of 256 agreements with a probability of 4.9e-5 and is
+then missed in every tree, about 8e-5 with the trees' own share.
 
 A node returns no pairs but a spanning forest of those that agree, so its rows grow with its members.  The trees of all
 forests are families; each class belongs to one.  Inside a family all pairs are compared exactly on the full shingle sets,
