@@ -4,7 +4,7 @@ Pieces and gaps are sorted by size.  In each round the pieces of one length, lon
 smallest gap that holds them; where more pieces than gaps meet, rank resolves it (the k-th piece takes the k-th gap and
 those beyond sweep on to the next gap size); gaps are updated and the next round begins.  Pieces of one length are
 interchangeable, so a round works on counts: the histogram of lengths (at most ``capacity`` rows, whatever the input) and
-ranges of sequences with equal gaps.  Its outcome is a table of segments, each a range of global ranks and the range of
+ranges of sequences with equal gaps.  The rounds are one loop on the driver, not sweeps on the cluster.  Its outcome is a table of segments, each a range of global ranks and the range of
 sequences it fills.  The rows themselves are range-sorted by Spark, learn their global rank from the row counts of the
 partitions before theirs, and find their segment by a binary search.  No row visits the driver, and no task holds more than
 its partition.
