@@ -172,13 +172,28 @@ def maintain(live: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFra
     return moves.repartition(partitions(live.sparkSession), "digest").select("digest", "op", "n").mapInArrow(_maintain, "digest binary, n long")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns stay.
+    """``docs`` with one row of each group of equal texts; all columns stay, whatever their names.
 
-    Rows that share an id are one document and go together; rows without an id cannot be named and stay.
+    The row with the largest id stays; null counts as empty, and a row without an id stays only where no row of its group has
+    one.  Rows go by id and text together, so a row that shares its id with a copy but not its text stays.  Of rows that
+    repeat both, one stays.  Texts of any length are read whole; an empty table gives an empty result.
     """
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
+    digest, who = fresh(docs, "digest"), fresh(docs, "who")
+    name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
+    keyed = docs.withColumns({digest: content_key(), who: name(docs["doc_id"])})
+    groups = group_digests(keyed.select(F.col(digest).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).cast("long").alias("n")))
+    stays = groups.select(F.col("digest").alias(digest), name(F.col("keep_id")).alias(who))
+    # rows meet by text and id, so that a text of a third of all rows spreads by its ids; one exchange serves both steps
+    return keyed.join(stays.hint("shuffle_hash"), [digest, who], "left_semi").dropDuplicates([digest, who]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ CUT = 0.66
 WIDE = 4096
 
 _A = np.random.Generator(np.random.PCG64(77)).integers(1, 2**62, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIG = "doc_id long, n_shingles long, cid long, sk array<int>, sketch binary"
+_SIG = "doc_id long, key long, n_shingles long, cid long, sk array<int>, sketch binary"
 
 
 def _class_id(x: np.ndarray) -> int:
@@ -77,11 +77,16 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off = np.concatenate([[0], np.cumsum([0 if s is None else K for s in sk])]).astype(np.int32)
         mask = np.array([s is None for s in sk] + [False])
         lists = pa.ListArray.from_arrays(pa.array(off, pa.int32(), mask=mask), pa.array(flat, pa.int32()))
-        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), lists, pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "cid", "sk", "sketch"])
+        yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), lists, pa.array(sketch, pa.binary())], names=["doc_id", "key", "n_shingles", "cid", "sk", "sketch"])
+
+
+def text_key(text: str):
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_sketch, _SIG)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_key(text).alias("key")).mapInArrow(_sketch, _SIG)
 
 
 def _children(coords: list[int] | None, branch: int):
@@ -238,8 +243,14 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Null or wordless texts have an empty set, link with nothing and stay.  Equal sets link; a null id takes no part in
     links between different sets, and its component is that of its set.  Repeated rows share their component and are both
-    ``kept`` where it is theirs.  An empty table gives an empty result.  Extra columns are ignored.
+    ``kept`` where it is theirs.  Texts of any length are read whole.  An empty table gives an empty result.  Extra columns
+    are ignored.
     """
+    return _marked(docs, doc_id, text).drop("key")
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of :func:`near_dedup` with the key of their text."""
     spark = docs.sparkSession
     store = Store(spark, "near")
     sig = store.save(signatures(docs, doc_id, text), "sig")
@@ -256,19 +267,21 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     top = cls.select("cid", "rid").join(comp.select(F.col("id").alias("cid"), F.col("comp").alias("c")), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     least = top.groupBy("c").agg(F.min("rid").alias("component_id"))
     named = store.save(top.join(least, "c").select("cid", "component_id"), "named")
-    return sig.select("doc_id", "n_shingles", "cid").join(named, "cid", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+    return sig.select("doc_id", "key", "n_shingles", "cid").join(named, "cid", "left").select(
+        "doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"),
     )
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; all columns stay.
+    """``docs`` with one document of each near-duplicate group; all columns stay, whatever their names.
 
-    Rows that share an id are one document and go together; rows without an id cannot be named and stay.
+    Rows go by id and text together: one that shares its id with a near copy but not its text stays.  Rows that repeat both
+    stay or go together, and so do rows without an id.  An empty table gives an empty result.
     """
-    gone = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = _marked(docs, "doc_id", "text").where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_key("text") == gone["gone_key"])
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
