@@ -81,8 +81,9 @@ class SliceTokenizer:
     def batch(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, the end id last."""
         end = np.array([END], "<u4").tobytes()
-        # the names of special tokens are matched before lower-casing
-        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        # capitals of ASCII texts go first, for fewer slices; elsewhere a mark may compose with the capital, and the names of
+        # special tokens are matched as they stand, so those texts are left to the tokenizer
+        cut = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
         if len(self.ids) > CACHE:
             self.trim()
         found = [list(map(self.ids.get, slices)) for slices in cut]
@@ -218,8 +219,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Pieces of the documents and their places; see :func:`tokenise` and :func:`pack`.
 
-    A null text is empty and packs its end id alone.  Rows that repeat an id are packed apart, each with its own pieces; a
-    null id is packed like any other.  Extra columns are ignored.
+    A null or empty text packs its end id alone; a text of any length is cut into pieces of ``capacity`` ids.  Rows that
+    repeat an id or a text are packed apart, each with its own pieces; a null id is packed like any other.  Pieces of one
+    length are ranked by id and piece.  An empty table gives an empty result; extra columns are ignored.
     """
     pieces = Store(docs.sparkSession, "pieces").save(tokenise(docs, path, capacity, keep_ids), "pieces")
     return pack(pieces, capacity)
