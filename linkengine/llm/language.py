@@ -1,15 +1,18 @@
 """Language ID by a linear-chain conditional random field over words.
 
 A word's features are its affixes and letter n-grams, both as hashed n-grams of the word between two boundary marks, and
-the word itself as a lexicon entry.  Transitions between labels are learned.  Training sequences are spliced from pieces of
+its entry in the lexicon, the words that the training texts hold at least ``TIMES`` times; entries have weights of their own
+and share none with the n-grams.  Transitions between labels are learned.  Training sequences are spliced from pieces of
 documents of different languages, so that switches inside a text are seen; the likelihood's gradient and the labels of a
 text come from forward-backward.  A document's language is the one with the largest mean posterior over its words.
 
-The fit uses at most about ``DOCS`` documents for each language, those of smallest hash; every word of every text is labelled.
+The fit uses at most about ``DOCS`` documents for each language, those of smallest hash, and ``PIECES`` pieces of ``PIECE`` words
+from all over each of them; every word of every text is labelled.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -17,15 +20,16 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
 from .quality import held_out
 
-#: Bounds of the training sample: documents for each language, and characters read of each of them.
-DOCS = 400
-CHARS = 2_000
+#: Bounds of the training sample: documents for each language, pieces of each of them and words of a piece.
+DOCS, PIECES, PIECE = 400, 8, 40
+#: How often the training texts hold a word of the lexicon.
+TIMES = 3
 BUCKETS = 1 << 16
 STEPS = 240
 BATCH = 64
@@ -39,9 +43,17 @@ CHUNK = 3 << 20
 _MIXED = textkit._GRAM
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashed features, first feature of each word and their number, which words have a letter)."""
-    text = "\n" + b"\n".join(words).decode("utf-8", "replace").lower() + "\n"
+def lowered(words: list[bytes]) -> list[str]:
+    return b"\n".join(words).decode("utf-8", "replace").lower().split("\n") if words else []
+
+
+def word_features(words: list[bytes], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, first feature of each word and their number, which words have a letter).
+
+    Every word without its letters' case has one lexicon feature: its entry, or that of all unknown words.
+    """
+    low = lowered(words)
+    text = "\n" + "\n".join(low) + "\n"
     cp = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     mark = cp == 10
     word_of = np.cumsum(mark) - 1  # a mark belongs to the word after it
@@ -65,11 +77,8 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             ok &= mark[:m] | mark[n - 1 : n - 1 + m]
         ids.append(textkit.mix(h[ok]) % np.uint64(BUCKETS))
         owner.append(word_of[:m][ok])
-    starts = np.flatnonzero(mark)[:-1]
-    place = np.arange(len(code)) - starts[np.minimum(word_of, len(starts) - 1)] if len(starts) else np.zeros(len(code), int)
-    whole = np.add.reduceat(textkit.mix(code * _MIXED[7] + place.astype(np.uint64) * _MIXED[6])[:-1], starts) if len(starts) else np.zeros(0, np.uint64)
-    ids.append(textkit.mix(whole) % np.uint64(BUCKETS))
-    owner.append(np.arange(len(starts)))
+    ids.append(np.fromiter((BUCKETS + lexicon.get(w, 0) for w in low), np.uint64, len(low)))
+    owner.append(np.arange(len(words)))
     ids, owner = np.concatenate(ids).astype(np.int64), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     return ids[order], np.searchsorted(owner[order], np.arange(len(words) + 1)), has
@@ -86,15 +95,18 @@ def _letters() -> np.ndarray:
 
 @dataclass
 class Crf:
+    """``weights`` has a row for each n-gram bucket, one for unknown words and one for each entry of ``lexicon`` (from 1 on)."""
+
     labels: list[str]
     weights: np.ndarray
     moves: np.ndarray
+    lexicon: dict[str, int]
 
     def emissions(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(scores, has a letter) of the words; a word without letters scores nothing."""
         if not words:
             return np.zeros((0, len(self.labels)), np.float32), np.zeros(0, bool)
-        ids, first, has = word_features(words)
+        ids, first, has = word_features(words, self.lexicon)
         e = np.add.reduceat(self.weights[ids], first[:-1], axis=0)
         e[~has] = 0
         return e, has
@@ -145,13 +157,15 @@ def fit(texts: list[str], langs: list[str], seed: int = 42) -> Crf:
     """Fit on labelled texts; no text leaves a model without labels."""
     labels = sorted(set(langs))
     k = len(labels)
-    model = Crf(labels, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k), np.float32))
-    split = [[w for w in t.encode("utf-8", "replace").split()] for t in texts]
+    split = [t.encode("utf-8", "replace").split() for t in texts]
     words = sorted({w for s in split for w in s})
+    times = Counter(w for s in split for w in lowered(s))
+    lexicon = {w: i for i, w in enumerate(sorted(w for w, n in times.items() if n >= TIMES), 1)}
+    model = Crf(labels, np.zeros((BUCKETS + 1 + len(lexicon), k), np.float32), np.zeros((k, k), np.float32), lexicon)
     if not words or k < 2:
         return model
     number = {w: i for i, w in enumerate(words)}
-    ids, first, has = word_features(words)
+    ids, first, has = word_features(words, lexicon)
     size = np.diff(first)
     by = [[[number[w] for w in s] for s, y in zip(split, langs, strict=True) if y == lab and s] for lab in labels]
     usable = [j for j in range(k) if by[j]]
@@ -278,20 +292,34 @@ def train(docs: DataFrame, folds: int = 3, fold: int = 1, per_language: int = DO
     """Fit on the bounded sample: rows with a language, outside the held-out fold, of smallest hash in their language."""
     known = docs.where("lang is not null and text is not null").where(~held_out("doc_id", folds, fold)).withColumn("h", F.xxhash64("doc_id", F.lit(2)))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))]) if counts else None
-    if share is None:
+    if not counts:
         return fit([], [])
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
     picked = known.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.element_at(share, F.col("lang")))
-    rows = picked.select("h", "doc_id", "lang", F.substring("text", 1, CHARS).alias("text")).orderBy("h", "doc_id").limit(2 * per_language * len(counts)).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = picked.select("h", "doc_id", "lang", pieces("text", "h").alias("pieces")).orderBy("h", "doc_id").limit(2 * per_language * len(counts)).collect()
+    return fit([p for r in rows for p in r["pieces"]], [r["lang"] for r in rows for _ in r["pieces"]])
+
+
+def pieces(text: str, h: str) -> Column:
+    """``PIECES`` pieces of ``PIECE`` words, one from each of as many equal parts of a text; a text of no more words whole."""
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def cut(w: Column) -> Column:
+        part = F.size(w) / PIECES
+        start = lambda i: F.floor(i * part + F.pmod(F.xxhash64(F.col(h), i), F.lit(1024)) / 1024 * (part - PIECE)).cast("int") + 1
+        some = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.array_join(F.slice(w, start(i), PIECE), " "))
+        return F.when(F.size(w) > PIECES * PIECE, some).otherwise(F.array(F.array_join(w, " ")))
+
+    return F.element_at(F.transform(F.array(words), cut), 1)
 
 
 def language_id(docs: DataFrame, model: Crf | None = None, folds: int = 3, fold: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs``.
 
     Null texts and texts without a letter are ``und`` with score 0.  Rows with a null language, text or id are not learned
-    from; a null id is never held out.  Repeated rows are labelled alike.  Without any language to learn all rows are
-    ``und``.  An empty table gives an empty result; extra columns are ignored.
+    from; a null id is never held out.  Repeated rows are labelled alike, texts of any length whole; of equally probable
+    languages the first in order is taken.  Without any language to learn all rows are ``und``.  An empty table gives an
+    empty result; extra columns are ignored.
     """
     model = model or train(docs, folds, fold)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -331,7 +359,11 @@ def _known(model: Crf, text: int):
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language is unknown; all columns stay, and no row moves."""
+    """``docs`` without those whose language is unknown (null, empty or without a letter); all columns stay, whatever their names.
+
+    No row moves; rows that repeat an id or lack one are judged each by its own text, of any length.  An empty table gives an
+    empty result; where no language can be learned every row goes.
+    """
     return docs.mapInArrow(_known(train(docs), docs.columns.index("text")), docs.schema)
 
 
