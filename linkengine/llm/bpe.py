@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import unicodedata
+import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -58,15 +58,21 @@ def _machine() -> tuple[np.ndarray, np.ndarray]:
 
 
 _STEP, _START = _machine()
-#: White space of Unicode (fixed values).
-_WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
 @lru_cache(1)
 def _class_table() -> np.ndarray:
-    kinds = {"L": L, "N": N}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], O) for c in range(0x110000)), np.uint8, 0x110000)
-    table[_WHITE] = WS
+    """The class of every code point, in the Unicode version of the tiktoken library, whose tables differ from Python's.
+
+    An encoding of single bytes whose pattern is one class drops all else, so that what comes back is the class.
+    """
+    import tiktoken
+
+    text = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    table = np.full(0x110000, O, np.uint8)
+    for pattern, kind in ((r"\p{L}", L), (r"\p{N}", N), (r"\s", WS)):
+        own = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        table[np.frombuffer(bytes(own.encode_ordinary(text)).decode("utf-8").encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
@@ -128,15 +134,97 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Plain pair merging: the pair of lowest rank first, the leftmost of equals."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], 1 << 60), i))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return [ranks[p] for p in parts]
+def merge(piece: bytes, pairs: dict[int, int], first: list[int]) -> list[int]:
+    """Ids of one slice: the pair of lowest rank first, the leftmost of equals, by a heap of pairs and a linked list."""
+    ids, n = [first[c] for c in piece], len(piece)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = right[i]
+        if j >= n or ids[i] != a or ids[j] != b:
+            continue  # a part has merged since
+        ids[i], ids[j], right[i] = rank, -1, right[j]
+        if right[i] < n:
+            left[right[i]] = i
+        for x, y in ((left[i], i), (i, right[i])):
+            if x >= 0 and y < n and (r := pairs.get(ids[x] << 32 | ids[y])) is not None:
+                heapq.heappush(heap, (r, x, ids[x], ids[y]))
+    return [x for x in ids if x >= 0]
+
+
+class Merger:
+    """Pair merging of many slices side by side.
+
+    ``keys`` are all pairs of tokens whose joined bytes are a token, sorted, and ``values`` their ranks.  A round finds for
+    each slice its pair of lowest rank, the leftmost of equals, merges it in all slices and closes the gaps; slices without
+    such a pair are done.  Slices above ``LONG`` bytes go through the heap, in n log n.
+    """
+
+    LONG = 48
+    ROWS = 1 << 18
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = rank
+        self.pairs = found
+        self.keys = np.array(sorted(found), np.int64)
+        self.values = np.array([found[k] for k in self.keys.tolist()], np.int64)
+        self.first = [ranks[bytes([i])] for i in range(256)]
+        # most adjacent tokens are no pair; a table of hashes answers for these without a search
+        self.mask = (1 << 22) - 1
+        self.maybe = np.zeros(self.mask + 1, bool)
+        self.maybe[self._hash(self.keys)] = True
+
+    def _hash(self, key: np.ndarray) -> np.ndarray:
+        return ((key ^ (key >> 29)) * 0x9E3779B1 >> 7) & self.mask
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        out = np.full(len(key), 1 << 40, np.int64)
+        some = np.flatnonzero(self.maybe[self._hash(key)])
+        at = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+        real = self.keys[at] == key[some]
+        out[some[real]] = self.values[at[real]]
+        return out
+
+    def merged(self, slices: list[bytes]) -> list[np.ndarray]:
+        """Ids of each slice."""
+        out: list[np.ndarray | None] = [None] * len(slices)
+        short = [i for i, s in enumerate(slices) if len(s) <= self.LONG]
+        for i, s in enumerate(slices):
+            if len(s) > self.LONG:
+                out[i] = np.array(merge(s, self.pairs, self.first), np.int64)
+        first = np.array(self.first, np.int64)
+        for c in range(0, len(short), self.ROWS // 8):
+            own = short[c : c + self.ROWS // 8]
+            n = np.array([len(slices[i]) for i in own])
+            ids = first[np.frombuffer(b"".join([slices[i] for i in own]), np.uint8)]
+            row = np.repeat(np.arange(len(own)), n)
+            while len(ids):
+                rank = np.full(len(ids), 1 << 40, np.int64)
+                rank[:-1] = self._ranks(ids[:-1], ids[1:])
+                rank[:-1][row[1:] != row[:-1]] = 1 << 40
+                heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                size = np.diff(np.append(heads, len(ids)))
+                least = np.minimum.reduceat(rank, heads)
+                best = rank == np.repeat(least, size)
+                done = least == 1 << 40
+                for h, m in zip(heads[done].tolist(), size[done].tolist(), strict=True):
+                    out[own[row[h]]] = ids[h : h + m]
+                live = ~np.repeat(done, size)
+                best &= live
+                at = np.flatnonzero(best)
+                at = at[np.append(True, row[at[1:]] != row[at[:-1]])] if len(at) else at  # the leftmost of a slice
+                ids[at] = rank[at]
+                live[at + 1] = False
+                ids, row = ids[live], row[live]
+        return out
 
 
 class Codec:
@@ -144,12 +232,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
-        try:
-            from tiktoken._tiktoken import CoreBPE
-
-            self._merge = CoreBPE(self.ranks, {}, "x").encode_single_piece
-        except (ImportError, AttributeError):
-            self._merge = lambda piece: merge(piece, self.ranks)
+        self.merger = Merger(self.ranks)
         self.ids: dict[bytes, bytes] = {}
         self.text: dict[bytes, bytes] = {}
         size = max(self.ranks.values(), default=0) + 1
@@ -177,10 +260,10 @@ class Codec:
         distinct = set(tokens)
         if len(self.ids) > CACHE:
             self.ids, self.text = (dict(islice(d.items(), KEEP)) for d in (self.ids, self.text))
-        for t in distinct.difference(self.ids):
-            ids = self._merge(t)
-            self.ids[t] = np.array(ids, "<u4").tobytes()
-            self.text[t] = b"".join(b"%d," % i for i in ids)
+        new = list(distinct.difference(self.ids))
+        for t, ids in zip(new, self.merger.merged(new), strict=True):
+            self.ids[t] = ids.astype("<u4").tobytes()
+            self.text[t] = b"".join([b"%d," % i for i in ids.tolist()])
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids, by their places in the table of all tokens' bytes."""

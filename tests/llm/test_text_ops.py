@@ -61,10 +61,37 @@ def test_bpe_any_text(text):
     assert codec.decode(np.array(ids, np.int64)).tobytes() == text.encode()
 
 
-def test_own_merging(tik):
+def plain_merge(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], 1 << 60), i))
+        if parts[best] + parts[best + 1] not in ranks:
+            break
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_merging_by_rounds_and_by_heap(tik):
     _, codec = tik
-    for piece in (b" hello", b"thntblere", "éàé".encode(), b"a", b"\xf0\x9f\x99\x82"):
-        assert bpe.merge(piece, codec.ranks) == codec._merge(piece)
+    rng = random.Random(8)
+    pieces = [b" hello", b"thntblere", "éàé".encode(), b"a", b"\xf0\x9f\x99\x82", b"aaaaaaa", b"a" * 48]
+    pieces += [bytes(rng.choice(b"aehlnorst \xc3\xa9") for _ in range(rng.randint(1, 48))) for _ in range(2000)]
+    want = [plain_merge(p, codec.ranks) for p in pieces]
+    assert [x.tolist() for x in codec.merger.merged(pieces)] == want
+    assert [bpe.merge(p, codec.merger.pairs, codec.merger.first) for p in pieces] == want
+
+
+def test_very_long_slices(tik):
+    enc, codec = tik
+    for text in ("a" * 30_000, "abcd" * 10_000, "é" * 5_000, " " * 20_000, "!?" * 9_000):
+        assert codec.encode(text) == enc.encode_ordinary(text)
+
+
+def test_every_code_point(tik):
+    enc, codec = tik
+    for lo in range(0, 0x110000, 0x4000):
+        text = "".join(f"a{c}b1{c}2 {c}'s" for c in map(chr, range(lo, lo + 0x4000)) if not 0xD800 <= ord(c) < 0xE000)
+        assert codec.encode(text) == enc.encode_ordinary(text)
 
 
 def test_bpe_rows(spark, tik):
