@@ -1,13 +1,13 @@
 """Bulk-synchronous best-fit packing of tokenised documents into sequences.
 
-Pieces and gaps are sorted by size.  In each round the pieces of one length, longest first, look for their successor, the
-smallest gap that holds them; where more pieces than gaps meet, rank resolves it (the k-th piece takes the k-th gap and
-those beyond sweep on to the next gap size); gaps are updated and the next round begins.  Pieces of one length are
-interchangeable, so a round works on counts: the histogram of lengths (at most ``capacity`` rows, whatever the input) and
-ranges of sequences with equal gaps.  The rounds are one loop on the driver, not sweeps on the cluster.  Its outcome is a table of segments, each a range of global ranks and the range of
-sequences it fills.  The rows themselves are range-sorted by Spark, learn their global rank from the row counts of the
-partitions before theirs, and find their segment by a binary search.  No row visits the driver, and no task holds more than
-its partition.
+Pieces and gaps are rows of tables.  A step range-sorts both by size, learns global ranks from the row counts of the partitions
+and deals the ranks out in shares of at most about ``SHARE`` rows, so that every share sees all sizes.  Each task sweeps its
+share: pieces, longest first, look for their successor, the smallest gap that holds them; where more pieces than gaps meet, rank
+resolves it (the k-th piece takes the k-th gap and those beyond sweep on to the next gap size); the gaps are updated and the
+sweep goes on with the next length.  A share opens no more sequences than its tokens fill, so that what does not fit, pieces
+and gaps, goes into the next step, in fewer shares, and meets there.  The last step has one share, or a step before it placed
+less than half of its pieces; it opens what is still needed.  Steps are few, as each leaves at most half of the pieces.  Only
+row counts of partitions and two figures a step reach the driver.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .store import Store, partitions
 
 CAPACITY = 2048
+#: Rows of pieces and gaps that a task sweeps at once.
+SHARE = 20_000
 #: The id that ends each document.
 END = 0
 #: White-space slices in a worker's cache of ids; when it is full and between tasks it falls back to the ones met first,
@@ -135,85 +137,151 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: boo
     return own.mapInArrow(_pieces(path, capacity, keep_ids), _PIECE + (", ids array<int>" if keep_ids else ""))
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int]]:
-    """Segments (first global rank, first sequence, offset) of pieces ranked longest first, by rounds of best fit."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> ranges of sequences (first, how many)
-    sizes: list[int] = []  # the gaps that have ranges, ascending
-    segments: list[tuple[int, int, int]] = []
-    rank = opened = 0
+def sweep(lengths: np.ndarray, seqs: np.ndarray, gaps: np.ndarray, capacity: int, limit: int | None, first: int) -> tuple[np.ndarray, np.ndarray, dict[int, list[np.ndarray]]]:
+    """Best fit of falling ``lengths`` into the sequences ``seqs`` with ``gaps`` and at most ``limit`` new ones from ``first`` on.
 
-    def leave(gap: int, first: int, many: int) -> None:
-        if gap and many:
-            if gap not in gaps:
-                gaps[gap] = []
+    Returns the sequence (-1 where nothing fits) and the offset of each piece and the sequences by what gap they have left.
+    """
+    held: dict[int, list[np.ndarray]] = {}
+    sizes: list[int] = []  # the gaps that have sequences, ascending
+    seq, off = np.full(len(lengths), -1, np.int64), np.full(len(lengths), -1, np.int64)
+    opened = 0
+
+    def leave(gap: int, ids: np.ndarray) -> None:
+        if gap and len(ids):
+            if gap not in held:
+                held[gap] = []
                 bisect.insort(sizes, gap)
-            gaps[gap].append((first, many))
-
-    for length in sorted(histogram, reverse=True):
-        left = histogram[length]
-        while left:
+            held[gap].append(ids)
+
+    order = np.lexsort((seqs, gaps))
+    for g in np.unique(gaps).tolist():
+        leave(g, seqs[order][gaps[order] == g])
+    heads = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1])) if len(lengths) else np.zeros(0, np.int64)
+    for at, stop in zip(heads.tolist(), [*heads[1:].tolist(), len(lengths)], strict=True):
+        length = int(lengths[at])
+        while at < stop:
             i = bisect.bisect_left(sizes, length)
             if i < len(sizes):
                 gap = sizes[i]
-                first, many = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[i]
-                taken = min(many, left)
-                leave(gap, first + taken, many - taken)
-                segments.append((rank, first, capacity - gap))
-                leave(gap - length, first, taken)
-            else:  # open new sequences, each filled with as many pieces of this length as fit
-                fit = capacity // length
-                first, taken = opened, max(1, left // fit) if left >= fit else 1
-                slots = fit if left >= fit else left
-                for k in range(slots):
-                    segments.append((rank + k * taken, first, k * length))
-                opened += taken
-                leave(capacity - slots * length, first, taken)
-                taken *= slots
-            rank += taken
-            left -= taken
-    return segments
-
-
-def _place(bases: dict[int, int], segments: list[tuple[int, int, int]]):
-    ranks, firsts, offsets = (np.array(x, np.int64) for x in (zip(*segments, strict=True) if segments else ([], [], [])))
+                ids = held[gap].pop()
+                if not held[gap]:
+                    del held[gap], sizes[i]
+                n = min(len(ids), stop - at)
+                leave(gap, ids[n:])
+                seq[at : at + n], off[at : at + n] = ids[:n], capacity - gap
+                leave(gap - length, ids[:n])
+                at += n
+            elif limit is None or opened < limit:  # new sequences, each with as many pieces of this length as fit
+                slots = min(capacity // length, stop - at)
+                n = (stop - at) // slots if limit is None else min((stop - at) // slots, limit - opened)
+                ids = first + opened + np.arange(n)
+                seq[at : at + n * slots] = np.tile(ids, slots)
+                off[at : at + n * slots] = np.repeat(np.arange(slots) * length, n)
+                opened += n
+                leave(capacity - slots * length, ids)
+                at += n * slots
+            else:
+                break
+    return seq, off, held
+
+
+def _shares(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The whole shares of a partition sorted by its last column."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        share = b.column(b.num_columns - 1).to_numpy()
+        cuts = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[-1].column(b.num_columns - 1)[0].as_py() != share[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _swept(step: int, capacity: int, last: bool):
+    """Rows with sequence_id and offset, null where nothing fits, and rows of the gaps that are left (null doc_id, gap true)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _shares(batches):
+            share = t.column("share")[0].as_py()
+            t = t.drop_columns(["share"]).combine_chunks()
+            is_gap = t.column("gap").to_numpy(zero_copy_only=False)
+            size = t.column("length").to_numpy()
+            own = np.flatnonzero(~is_gap)
+            ids = [t.column(c).take(pa.array(own)).to_pandas().fillna(-1).to_numpy() for c in ("doc_id", "piece")]
+            own = own[np.lexsort((ids[1], ids[0], -size[own]))]
+            seqs, gaps = t.column("sequence_id").take(pa.array(np.flatnonzero(is_gap))).to_numpy().astype(np.int64), size[is_gap]
+            limit = None if last else max(0, int(size[own].sum() - gaps.sum()) // capacity)
+            seq, off, held = sweep(size[own], seqs, gaps, capacity, limit, step << 58 | share << 30)
+            rows = t.take(pa.array(own))
+            for name, v in (("sequence_id", seq), ("offset", off)):
+                rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(v, pa.int64(), mask=seq < 0))
+            yield from rows.to_batches()
+            if held and not last:
+                left = pa.array(np.concatenate([np.full(sum(map(len, ids)), g) for g, ids in held.items()]), pa.int64())
+                cols = {"length": left, "sequence_id": pa.array(np.concatenate([x for ids in held.values() for x in ids]), pa.int64()), "gap": pa.array(np.ones(len(left), bool))}
+                yield pa.record_batch([cols.get(f.name, pa.nulls(len(left), f.type)) for f in rows.schema], schema=rows.schema)
+
+    return run
+
+
+def _dealt(bases: dict[int, int], shares: int):
+    """Rows with the share of their global rank in place of their mark."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             mark = b.column(b.num_columns - 1).to_numpy()
-            part = mark >> 33
-            base = np.array([bases[p] for p in part.tolist()], np.int64)
-            rank = base + (mark & ((1 << 33) - 1))
-            i = np.searchsorted(ranks, rank, "right") - 1
-            cols = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.record_batch([*cols, pa.array(firsts[i] + rank - ranks[i]), pa.array(offsets[i])], names=[*b.schema.names[:-1], "sequence_id", "offset"])
+            rank = np.array([bases[p] for p in (mark >> 33).tolist()], np.int64) + (mark & ((1 << 33) - 1))
+            yield pa.record_batch([*b.columns[:-1], pa.array(rank % shares)], names=[*b.schema.names[:-1], "share"])
 
     return run
 
 
+def _step(rows: DataFrame, store: Store, step: int, capacity: int, stalled: bool) -> tuple[DataFrame, bool]:
+    """(rows after a step, whether it was the last) of pieces and gaps."""
+    n = partitions(rows.sparkSession)
+    order = [F.desc("length"), F.asc("gap"), F.asc("doc_id"), F.asc("piece"), F.asc("sequence_id")]
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = store.save(ranged.withColumn("mark", F.monotonically_increasing_id()), "ranged")
+    counts = ranged.groupBy(F.shiftright("mark", 33).alias("part")).count().collect()  # a row for each partition
+    bases, total = {}, 0
+    for part, count in sorted((r["part"], r["count"]) for r in counts):
+        bases[part] = total
+        total += count
+    shares = -(-total // SHARE) if total else 1
+    last = stalled or shares == 1
+    dealt = ranged.mapInArrow(_dealt(bases, shares), ranged.drop("mark").withColumn("share", F.lit(0).cast("long")).schema)
+    dealt = dealt.repartition(min(shares, n), "share").sortWithinPartitions("share")
+    out = store.save(dealt.mapInArrow(_swept(step, capacity, last), ranged.drop("mark").schema), "swept")
+    return out, last
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Rows of ``pieces`` with sequence_id and offset: within a sequence the offsets are gapless from 0.
 
     ``length`` must lie in 1..capacity.  An empty table gives an empty result.
     """
     store = Store(pieces.sparkSession, "packing")
-    ranged = pieces.repartitionByRange(partitions(pieces.sparkSession), F.desc("length"), F.asc("doc_id"), F.asc("piece"))
-    ranged = ranged.sortWithinPartitions(F.desc("length"), F.asc("doc_id"), F.asc("piece"))
-    ranged = store.save(ranged.withColumn("mark", F.monotonically_increasing_id()), "ranged")
-    # ranges of a sort: all partitions together have no more than (lengths + partitions) rows here
-    counts = ranged.groupBy(F.shiftright("mark", 33).alias("part"), "length").count().collect()
-    histogram: dict[int, int] = {}
-    sizes: dict[int, int] = {}
-    for part, length, n in counts:
-        histogram[length] = histogram.get(length, 0) + n
-        sizes[part] = sizes.get(part, 0) + n
-    bases, total = {}, 0
-    for part in sorted(sizes):
-        bases[part] = total
-        total += sizes[part]
-    schema = ranged.drop("mark").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return ranged.mapInArrow(_place(bases, best_fit(histogram, capacity)), schema)
+    rows = pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long"), "gap": F.lit(False)})
+    done, stalled, step = None, False, 0
+    while True:
+        out, last = _step(rows, store, step, capacity, stalled)
+        placed = out.where("not gap and sequence_id is not null").drop("gap")
+        done = placed if done is None else done.unionByName(placed)
+        if last:
+            return done
+        open_ = out.where("not gap and sequence_id is null")
+        left, least, before = *open_.agg(F.count("*"), F.min("length")).first(), out.where("not gap").count()
+        if not left:
+            return done
+        stalled = 2 * left > before
+        rows = open_.unionByName(out.where(f"gap and length >= {least}"))
+        step += 1
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

@@ -122,32 +122,62 @@ def test_slices_equal_whole_texts():
         assert np.frombuffer(next(tok.batch([text.encode()])), "<u4").tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids + [0]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1))
-def test_best_fit_places(histogram):
-    cap = 40
-    segments = packing.best_fit(histogram, cap)
-    lengths = [n for n in sorted(histogram, reverse=True) for _ in range(histogram[n])]
-    starts = [s[0] for s in segments] + [len(lengths)]
+def checked_bins(pieces, cap):
+    """Bins (sequence -> pieces) of placed (sequence, offset, length), checked to be gapless."""
     bins = {}
-    for (rank, first, off), stop in zip(segments, starts[1:], strict=True):
-        for r in range(rank, stop):
-            bins.setdefault(first + r - rank, []).append((off, lengths[r]))
-    assert sum(map(len, bins.values())) == len(lengths)
+    for seq, off, n in pieces:
+        bins.setdefault(seq, []).append((off, n))
     for items in bins.values():
         at = 0
         for off, n in sorted(items):
             assert off == at
             at += n
         assert at <= cap
-    plain = []  # best fit decreasing, one by one
-    for n in lengths:
-        fit = [i for i, g in enumerate(plain) if g >= n]
+    return bins
+
+
+def best_fit_decreasing(lengths, cap):
+    left = []
+    for n in sorted(lengths, reverse=True):
+        fit = [i for i, g in enumerate(left) if g >= n]
         if fit:
-            plain[min(fit, key=lambda i: plain[i])] -= n
+            left[min(fit, key=lambda i: left[i])] -= n
         else:
-            plain.append(cap - n)
-    assert len(bins) == len(plain)
+            left.append(cap - n)
+    return left
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=80), st.lists(st.integers(1, 39), max_size=10), st.sampled_from([None, 0, 2]))
+def test_sweep(lengths, gaps, limit):
+    cap = 40
+    x = np.array(sorted(lengths, reverse=True))
+    seqs = np.arange(len(gaps)) + 1000
+    seq, off, held = packing.sweep(x, seqs, np.array(gaps, np.int64), cap, limit, 0)
+    old = [(1000 + i, 0, cap - g) for i, g in enumerate(gaps)]
+    bins = checked_bins(old + [(s, o, n) for s, o, n in zip(seq.tolist(), off.tolist(), x.tolist(), strict=True) if s >= 0], cap)
+    left = {s: cap - sum(n for _, n in items) for s, items in bins.items()}
+    assert sorted((g, s) for g, ids in held.items() for i in ids for s in i.tolist()) == sorted((g, s) for s, g in left.items() if g)
+    new = [s for s in bins if s < 1000]
+    assert limit is None or len(new) <= limit
+    assert (seq >= 0).all() or (limit is not None and len(new) == limit and x[seq < 0].min() > max(left.values(), default=0))
+    if limit is None and not gaps:
+        assert len(bins) == len(best_fit_decreasing(lengths, cap))
+
+
+def test_steps_of_many_shares(spark, monkeypatch):
+    rng = random.Random(12)
+    lengths = [rng.choice((rng.randint(1, 90), rng.randint(1, 600), rng.randint(1, 2048), 1500)) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing._PIECE)
+    for share, slack in ((20_000, 0), (97, 1.01)):
+        monkeypatch.setattr(packing, "SHARE", share)
+        out = packing.pack(rows).collect()
+        assert sorted((r.doc_id, r.length) for r in out) == list(enumerate(lengths))
+        bins = checked_bins([(r.sequence_id, r.offset, r.length) for r in out], 2048)
+        best = len(best_fit_decreasing(lengths, 2048))
+        assert len(bins) == best if not slack else len(bins) <= best * slack + 1
+    alike = spark.createDataFrame([(i, 0, 0, 1500, 0) for i in range(300)], packing._PIECE)
+    assert len(checked_bins([(r.sequence_id, r.offset, r.length) for r in packing.pack(alike).collect()], 2048)) == 300
 
 
 def test_packing(spark):
