@@ -239,13 +239,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     The model is fitted on labelled rows outside the held-out fold; rows with a null id, a null label or a label other than
-    0 and 1 are not learned from, and are scored like any other.  Null texts score as empty ones.  Repeated rows score
-    alike.  Without labels every score is one half.  An empty table gives an empty result; extra columns are ignored.
+    0 and 1 are not learned from, and are scored like any other; repeated labels count once, contradicting ones both.  Null
+    texts score as empty ones, texts of any length are read whole.  Repeated rows score alike.  Without labels every score is
+    one half.  An empty table gives an empty result; extra columns are ignored.
     """
     store = Store(docs.sparkSession, "quality")
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     x = store.save(own.mapInArrow(_featurise, "doc_id long, x array<double>"), "features")
-    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality").where(~held_out("doc_id", folds, fold))
+    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality").where(~held_out("doc_id", folds, fold)).distinct()
     # the hash cut comes first, so that no task sends more than its share to the driver
     share = min(1.0, 1.5 * max_rows / max(known.count(), 1))
     known = known.where(F.xxhash64("doc_id", F.lit(1)).cast("double") / 2.0**64 + 0.5 <= share)
