@@ -2,18 +2,18 @@
 
 Documents with one shingle set form a class; the join works on classes.  A tree branches its classes by chosen minwise
 tokens: the child of a node is (node, chosen coordinate, value there), so two classes follow one branch with a probability
-equal to their Jaccard similarity.  The ``ROOTS`` root branches are the independent trees.  A node of at most ``SMALL``
-classes is compared exhaustively; a larger one branches again along coordinates chosen by its own path, as many as
-``BRANCHES`` says, and one that is still large at the end is compared exhaustively too, cut into pairs of blocks so that no
-task holds all of it.
-
-Recall: a link of similarity s survives a branching node with probability f = 1 - (1 - s f')^branches, f' that of the level
-below; for s = 0.75 that is 0.9375, then 0.973, so that all ``ROOTS`` trees miss it with (1 - 0.75 * 0.973)^8 < 3e-5
-if their draws were independent; branches draw from the ``K`` values of the roots, so that this is an estimate.
+equal to their Jaccard similarity.  There are ``ROOTS`` trees.  Each has a root coordinate and ``OWN`` further ones that no
+other tree uses, level by level as many as ``BRANCHES`` says, so that trees are independent and no level repeats a value.  A
+node of at most ``SMALL`` classes is compared exhaustively; a larger one branches again, and one that is still large at the
+end is compared exhaustively too, cut into pairs of blocks so that no task holds all of it.
+
+Recall: a link of similarity s survives a tree with a probability of s where its nodes are small, and of
+s (1 - (1 - s)^3) (1 - (1 - s)^2) where they are large at every level; for s = 0.75 that is 0.692, so that all trees miss it
+with at most 0.308^8 = 8.1e-5, and with 0.25^8 = 1.6e-5 without large nodes.
 Nodes compare sketches of four bits from each of ``SKETCH`` minwise values.  Two classes of similarity s agree at a share of
 s + (1 - s) / 16 of them; ``CUT`` is that share for s = 0.75 less four standard deviations, which 0.5 does not reach.
 The sketch is the same in all trees: a link at 0.75 has fewer than 169 of 256 agreements with a probability of 4.9e-5 and is
-then missed in every tree, about 8e-5 with the trees' own share.
+then missed in every tree.  Together at most 1.3e-4 of the links at the threshold itself are missed, fewer above it.
 
 A node returns no pairs but a spanning forest of those that agree, so its rows grow with its members.  The trees of all
 forests are families; each class belongs to one.  Inside a family all pairs are compared exactly on the full shingle sets,
@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -36,11 +36,13 @@ from .store import Store, partitions
 
 WORDS = 5
 PERCENT = 75
-K = 32
 SKETCH = 256
 ROOTS = 8
-#: Branches of a large node, level by level.
+#: Branches of a large node, level by level, each along a coordinate of its tree's own.
 BRANCHES = (3, 2)
+OWN = sum(BRANCHES)
+#: Minwise values that are kept whole: the roots', then each tree's own.
+K = ROOTS * (1 + OWN)
 SMALL = 2048
 #: Classes of a family in one block.
 BLOCK = 256
@@ -89,12 +91,16 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_key(text).alias("key")).mapInArrow(_sketch, _SIG)
 
 
-def _children(coords: list[int] | None, branch: int):
-    """Array of child nodes of a row with ``node`` and ``sk``."""
-    if coords is not None:
-        return F.array(*[F.xxhash64(F.lit(c), F.element_at("sk", c + 1)) for c in coords])
-    pick = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(K)).cast("int") for j in range(branch)]
-    return F.array_distinct(F.array(*[F.xxhash64("node", p, F.element_at("sk", p + 1)) for p in pick]))
+def _roots() -> Column:
+    """For each tree its node at the root and the values of its own."""
+    one = lambda t: F.struct(F.xxhash64(F.lit(t), F.element_at("sk", t + 1)).alias("node"), F.slice("sk", ROOTS + OWN * t + 1, OWN).alias("own"))
+    return F.array(*map(one, range(ROOTS)))
+
+
+def _children(level: int) -> Column:
+    """The nodes into which a row of a large node goes at a level, along the coordinates of that level."""
+    first = sum(BRANCHES[:level])
+    return F.array(*[F.xxhash64("node", F.lit(c), F.element_at("own", c + 1)) for c in range(first, first + BRANCHES[level])])
 
 
 def _large(rows: DataFrame) -> DataFrame:
@@ -108,11 +114,10 @@ def leaves(classes: DataFrame, store: Store) -> DataFrame:
     Rows of small nodes go on with their sketches; only large nodes are joined and branched again.
     """
     zero = F.lit(0)
-    done, rows = None, classes
-    for depth, branch in enumerate((ROOTS, *BRANCHES)):
-        children = _children(list(range(ROOTS)), 0) if depth == 0 else _children(None, branch)
-        rows = rows.select(F.explode(children).alias("node"), "cid", "n", "sketch", "sk")
-        rows = rows if depth == 0 else store.save(rows, "level")
+    done, rows = None, classes.select(F.explode(_roots()).alias("at"), "cid", "n", "sketch").select("at.node", "at.own", "cid", "n", "sketch")
+    for level in range(len(BRANCHES) + 1):
+        if level:
+            rows = store.save(rows.select(F.explode(_children(level - 1)).alias("node"), "own", "cid", "n", "sketch"), "level")
         large = store.save(_large(rows), "large")
         part = rows.join(large, "node", "left_anti").select("node", zero.alias("lo"), zero.alias("hi"), "cid", "n", "sketch")
         done = part if done is None else done.unionByName(part)
