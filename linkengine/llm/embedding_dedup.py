@@ -5,11 +5,12 @@ orthogonal matrix and cut into ``BLOCKS`` blocks; for a linked pair at least one
 block is range-joined under that budget: a vector lives in the grid cell of its first coordinates in the block, and visits
 every cell that its ball of radius sqrt(D / BLOCKS) touches.  Cells are two radii wide, so a visit touches two cells for a
 coordinate.  The number of grid coordinates follows the size of the label, so that cells keep about ``CELL`` vectors at
-any size.  The union of what the blocks find is verified exactly, in double precision, on the vectors themselves; a pair
+any size, and a visit to a cell that the ball does not reach is not made.  The union of what the blocks find is verified exactly, in double precision, on the vectors themselves; a pair
 that several blocks find counts in the first of them.
 
 Copies of one vector join once, with their count.  A cell returns a row per visitor (its links) and a spanning forest of
-its links, never its pairs; a cell of more than ``SPLIT`` residents is dealt in parts, each with all visitors.
+its links, never its pairs; a cell of more than ``SPLIT`` residents is dealt in parts, and so are its visitors: each part of
+the one meets each part of the other, and no task holds more than a part of both.
 """
 
 from __future__ import annotations
@@ -92,28 +93,43 @@ def _visits(cosine: float, kind: str, homes: bool):
                         low = np.floor(z - 0.5).astype(np.int64)  # the ball touches cells low and low + 1
                         for side in range(1 << z.shape[1]):
                             cell = low + np.array([side >> j & 1 for j in range(z.shape[1])])
-                            key = np.full(len(part), (k * 1000 + d), np.int64)
+                            away = np.maximum(np.maximum(cell - z, z - cell - 1), 0)
+                            reached = (away * away).sum(axis=1) <= 0.25 + SLACK  # the ball's radius is half a cell
+                            own_part, cell = part[reached], cell[reached]
+                            key = np.full(len(cell), (k * 1000 + d), np.int64)
                             for j in range(z.shape[1]):
                                 key = key * np.int64(1_000_003) + cell[:, j]
-                            at_home = (cell == home).all(axis=1)
+                            at_home = (cell == home[reached]).all(axis=1)
                             if homes:
-                                yield pa.record_batch([b.column(2).take(pa.array(part[at_home])), pa.array(key[at_home])], names=["label", "cell"])
+                                yield pa.record_batch([b.column(2).take(pa.array(own_part[at_home])), pa.array(key[at_home])], names=["label", "cell"])
                                 continue
-                            i = pa.array(part)
+                            i = pa.array(own_part)
                             yield pa.record_batch(
-                                [b.column(0).take(i), b.column(1).take(i), b.column(2).take(i), b.column(4).take(i), pa.array(np.full(len(part), k, np.int32)), pa.array(key), pa.array(at_home)],
+                                [b.column(0).take(i), b.column(1).take(i), b.column(2).take(i), b.column(4).take(i), pa.array(np.full(len(own_part), k, np.int32)), pa.array(key), pa.array(at_home)],
                                 names=["id", "vec", "label", "w", "block", "cell", "home"],
                             )
 
     return run
 
 
+def _merged(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``label``, the least index of each index's group, after the links u to v."""
+    while True:
+        a, b = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        if (a == b).all():
+            return label
+        label = label.copy()
+        np.minimum.at(label, b[a < b], a[a < b])
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def _links(cosine: float, kind: str):
     def cell(t: pa.Table) -> pa.RecordBatch:
         x = _unpack(t.column("vec").to_pylist(), kind)
         block = t.column("block")[0].as_py()
         ids, w = t.column("id").to_numpy(), t.column("w").to_numpy()
-        h = np.flatnonzero(t.column("home").to_numpy(zero_copy_only=False))
+        h, guests = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("home", "guest"))
         unit = _units(x)
         y = unit @ rotation(x.shape[1])
         parts = _blocks(x.shape[1])
@@ -121,14 +137,13 @@ def _links(cosine: float, kind: str):
         norm = np.sqrt((x * x).sum(axis=1))
         scaled = np.isfinite(norm).all() and (norm > 1e-150).all()
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
 
         def square(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> np.ndarray:
             a, c = y[i][:, own], y[j][:, own]
             return (a * a).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * a @ c.T
 
-        for r in range(0, len(ids), 512):
-            i = np.arange(r, min(r + 512, len(ids)))
+        for r in range(0, len(guests), 512):
+            i = guests[r : r + 512]
             for q in range(0, len(h), 2048):
                 p, s = np.nonzero(square(i, h[q : q + 2048], parts[block]) <= budget)
                 p, s = i[p], h[q : q + 2048][s]
@@ -140,23 +155,12 @@ def _links(cosine: float, kind: str):
                     else:
                         ok = (unit[pp] * unit[ss]).sum(axis=1) >= cosine
                     pp, ss = pp[ok], ss[ok]
-                    edges.append((pp, ss))
+                    label = _merged(label, pp, ss)
                     first = np.ones(len(pp), bool)  # no earlier block found the pair
                     for own in parts[:block]:
                         diff = y[pp][:, own] - y[ss][:, own]
                         first &= (diff * diff).sum(axis=1) > budget
                     np.add.at(links, pp[first], w[ss[first]])
-        if edges:
-            u, v = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
-            while len(u):
-                new = label.copy()
-                least = np.minimum(label[u], label[v])
-                np.minimum.at(new, u, least)
-                np.minimum.at(new, v, least)
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
         keep = (links > 0) | (label != np.arange(len(ids)))
         return pa.record_batch([pa.array(ids[keep]), pa.array(links[keep]), pa.array(ids[label][keep])], names=["id", "links", "near"])
 
@@ -164,7 +168,7 @@ def _links(cosine: float, kind: str):
         held: list[pa.RecordBatch] = []
         last = None
         for b in batches:
-            key = list(zip(*[b.column(c).to_pylist() for c in ("label", "cell", "part")], strict=True))
+            key = list(zip(*[b.column(c).to_pylist() for c in ("label", "cell", "part", "guests")], strict=True))
             a = 0
             for i in range(1, len(key) + 1):
                 if i == len(key) or key[i] != key[a]:
@@ -205,11 +209,14 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     homes = deal.mapInArrow(_visits(cosine, kind, True), "label string, cell long").groupBy("label", "cell").count()
     parts = store.save(homes.where(f"count > {SPLIT}").select("label", "cell", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")), "parts")
     visits = deal.mapInArrow(_visits(cosine, kind, False), "id long, vec binary, label string, w long, block int, cell long, home boolean")
-    dealt = visits.join(parts, ["label", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.withColumn("home", F.expr("home and pmod(xxhash64(id), parts) = part"))
-    cells = dealt.repartition(n, "label", "cell", "part").sortWithinPartitions("label", "cell", "part")
-    links = cells.select("id", "vec", "label", "w", "block", "cell", "home", "part").mapInArrow(_links(cosine, kind), "id long, links long, near long")
+    dealt = visits.join(parts, ["label", "cell"], "left").withColumn("parts", F.coalesce(F.col("parts").cast("long"), F.lit(1).cast("long")))
+    dealt = dealt.withColumns({"own": F.expr("pmod(xxhash64(id), parts)"), "as": F.expr("pmod(xxhash64(id, 1), parts)")})
+    # a resident meets all parts of the visitors, a visitor all parts of the residents
+    meets = "transform(sequence(0L, parts - 1L), k -> struct(k AS part, `as` AS guests, home AND k = own AS home, true AS guest))"
+    stays = "transform(filter(sequence(0L, parts - 1L), k -> home AND k <> `as`), k -> struct(own AS part, k AS guests, true AS home, false AS guest))"
+    dealt = dealt.withColumn("at", F.explode(F.expr(f"concat({meets}, {stays})"))).select("id", "vec", "label", "w", "block", "cell", "at.*")
+    cells = dealt.repartition(n, "label", "cell", "part", "guests").sortWithinPartitions("label", "cell", "part", "guests")
+    links = cells.select("id", "vec", "label", "w", "block", "cell", "home", "part", "guests", "guest").mapInArrow(_links(cosine, kind), "id long, links long, near long")
     found = store.save(links, "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("u"), F.col("near").alias("v")), store)
