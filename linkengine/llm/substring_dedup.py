@@ -31,6 +31,10 @@ WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
+#: Hash ranges and document buckets for each partition; a task holds one of them at a time.
+RANGES = 4
+#: Answers that a task holds before they leave.
+FLUSH = 2_000_000
 
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 _PACKED = "bucket int, answer boolean, hashes binary, docs binary"
@@ -159,6 +163,12 @@ def _met(later: bool, buckets: int) -> Callable:
                 held.clear()
                 found.append(_meet_local(h, d, later)[:2])
 
+        def answers(least: int) -> Iterator[pa.RecordBatch]:
+            if sum(len(x[1]) for x in found) > least:
+                d = np.concatenate([x[1] for x in found])
+                yield _pack(_doc_bucket(d, buckets), np.concatenate([x[0] for x in found]), d, True)
+                found.clear()
+
         for b in batches:
             own = b.filter(b.column(1))
             if own.num_rows:
@@ -167,12 +177,11 @@ def _met(later: bool, buckets: int) -> Callable:
             for bucket, h, d in zip(sent.column(0).to_pylist(), sent.column(2).to_pylist(), sent.column(3).to_pylist(), strict=True):
                 if bucket != last:
                     meet()
+                    yield from answers(FLUSH)
                     last = bucket
                 held.append((h, d))
         meet()
-        if found:
-            d = np.concatenate([x[1] for x in found])
-            yield _pack(_doc_bucket(d, buckets), np.concatenate([x[0] for x in found]), d, True)
+        yield from answers(0)
 
     return run
 
@@ -251,7 +260,7 @@ def _cut(keep_text: bool) -> Callable:
 
 def _cuts(docs: DataFrame, keep_text: bool) -> DataFrame:
     """doc_id, whole (SHA-256 of all words), n_removed, sha, kept_text of the documents that share a window."""
-    store, buckets = Store(docs.sparkSession, "substrings"), partitions(docs.sparkSession)
+    store, buckets = Store(docs.sparkSession, "substrings"), RANGES * partitions(docs.sparkSession)
     known = docs.where("doc_id is not null and text is not null")
     shared = _meet(known.mapInArrow(_anchors(buckets), _PACKED), False, buckets)
     near = store.save(known.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hashes"), "near")
@@ -264,8 +273,9 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs``, with kept_text where any word was removed.
 
     A word goes when a window that covers it also starts in a document with a smaller id; windows are judged on the
-    input.  Null texts have no words.  Rows with a null id lose nothing and cost others nothing.  Rows that repeat an id are
-    one document: they do not remove each other's words.  An empty table gives an empty result; extra columns are ignored.
+    input.  Null and empty texts have no words, texts of any length are read whole.  Rows with a null id lose nothing and cost
+    others nothing.  Rows that repeat an id are one document: they do not remove each other's words.  An empty table gives an
+    empty result; extra columns are ignored.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     whole = own.mapInArrow(_whole, "doc_id long, n_words long, whole string")
