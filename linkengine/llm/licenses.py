@@ -2,13 +2,15 @@
 
 A text's words are ``[a-z0-9]+`` after lower-casing A-Z; windows of ``WIDTH`` words start every ``STRIDE`` words, so that each
 five-word shingle lies in exactly one window and windows overlap by the rest.  A window has ``BANDS`` bands of one minwise
-value each.  A template is filed under the values of its own shingles; it is retrieved when a band of any window meets
-one.  A window of four shingles, k of them from the template, meets it with a probability of 1 - (1 - k/4)^BANDS: above
-0.999998 for k = 1, and one for k = 4.  Retrieved templates are verified exactly: the text must hold at least ``PERCENT``
-of the template's distinct shingles.
+value each.  A template is cut into windows of as many shingles, one from each of its words on, and filed under their bands; one
+of fewer shingles is one window.  It is retrieved when a band of a window of the text equals one of its own: with a
+probability of 1 - (1 - J)^BANDS for two windows of similarity J.  An intact window meets its own with certainty; the only
+shingle of a template, alone in a window of four (J = 1/4), is missed with 1e-6; one common shingle of two full windows
+(J = 1/7) with 6e-4, and a template that a text holds for three quarters has many such windows.  Retrieved templates are
+verified exactly: the text must hold at least ``PERCENT`` of the template's distinct shingles.
 
 Only texts with a marker are cut into words.  That loses nothing: the markers cover so many shingles of each template that
-the others alone stay below ``PERCENT`` (asserted below).
+the others alone stay below ``PERCENT`` (checked below).
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ TEMPLATES = {
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "mit": "Released under the MIT License.",
     "mit-header": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 MARKERS = "licens|permission|permitted|software|modif|redistribut|hereby"
@@ -50,7 +54,8 @@ def template_shingles(text: str) -> list[str]:
 
 SHINGLES = {name: template_shingles(text) for name, text in sorted(TEMPLATES.items())}
 for _name, _own in SHINGLES.items():
-    assert _own and 100 * sum(not re.search(MARKERS, s) for s in _own) < PERCENT * len(_own), _name
+    if not _own or 100 * sum(not re.search(MARKERS, s) for s in _own) >= PERCENT * len(_own):
+        raise ValueError(f"the markers do not cover {_name}")
 
 
 def _let(value: Column, body) -> Column:
@@ -66,10 +71,16 @@ def _bands(shingles: Column) -> Column:
 
 
 def template_keys(spark: SparkSession) -> dict[str, list[int]]:
-    """Band keys under which each template is filed."""
+    """Band keys under which each template is filed: those of its windows, one from each shingle on."""
     band = F.sequence(F.lit(1), F.lit(BANDS))
-    filed = [F.flatten(F.transform(F.array(*map(F.lit, own)), lambda s: F.transform(band, lambda b: F.xxhash64(F.xxhash64(s), b)))).alias(name) for name, own in SHINGLES.items()]
-    return {name: sorted(set(keys)) for name, keys in spark.range(1).select(*filed).first().asDict().items()}
+
+    def filed(own: list[str]) -> Column:
+        hashes = F.array(*[F.xxhash64(F.lit(s)) for s in own])
+        at = F.sequence(F.lit(1), F.lit(max(1, len(own) - STRIDE + 1)))
+        return F.flatten(F.transform(at, lambda i: _let(F.slice(hashes, i, STRIDE), lambda w: F.transform(band, lambda b: F.array_min(F.transform(w, lambda s: F.xxhash64(s, b)))))))
+
+    found = spark.range(1).select(*[filed(own).alias(name) for name, own in SHINGLES.items()]).first().asDict()
+    return {name: sorted(set(keys)) for name, keys in found.items()}
 
 
 def _any_of(array: str, keys: list[int]) -> Column:
@@ -79,8 +90,8 @@ def _any_of(array: str, keys: list[int]) -> Column:
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_templates, templates (names in order, joined by commas) of every row of ``docs``.
 
-    Null, empty and short texts match nothing.  Rows are independent, so null and repeated ids and repeated rows need no
-    rule.  An empty table gives an empty result; extra columns are ignored.
+    Null, empty and short texts match nothing; texts of any length are read whole.  Rows are independent, so null and repeated
+    ids and repeated rows need no rule.  An empty table gives an empty result; extra columns are ignored.
     """
     keys = template_keys(docs.sparkSession)
     low = F.translate(F.coalesce(F.col(text), F.lit("")), _UP, _LOW)
