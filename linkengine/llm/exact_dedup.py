@@ -37,7 +37,7 @@ class CuckooIndex:
 
     @staticmethod
     def _mark(key: bytes) -> tuple[int, int]:
-        return int.from_bytes(key[:2], "little") | 1, int.from_bytes(key[2:10], "little")
+        return int.from_bytes(key[:2], "little") % 65535 + 1, int.from_bytes(key[2:10], "little")
 
     def _other(self, i: int, fp: int) -> int:
         return (i ^ (fp * 0x5BD1E995)) & self.mask
@@ -134,7 +134,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Texts are equal when identical; null counts as empty.  Of equal texts the row with the largest id stays.  Rows that
     repeat both id and text are one document and share ``kept``; a null id stays only where no row of its group has an id.
-    An empty table gives an empty result; other columns are ignored.
+    Texts of any length are read whole.  An empty table gives an empty result; other columns are ignored.
     """
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), content_key(text).alias("digest"))
     groups = group_digests(keyed.select("digest", "doc_id", F.lit(1).cast("long").alias("n")))
