@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -185,19 +187,23 @@ SCORERS: dict[str, Callable[[str, str], float]] = {
 
 
 def _paired(f: Callable[[str, str], object], kind: T.DataType):
+    """An Arrow function of two text columns that works out each distinct pair of a batch once."""
+
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        held: dict[tuple[str, str], object] = {}
-        out = []
-        for key in zip(a, b, strict=True):
-            if key not in held:
-                held[key] = None if key[0] is None or key[1] is None else f(*key)
-            out.append(held[key])
-        return pd.Series(out)
+        held = {(x, y): None if x is None or y is None else f(x, y) for x, y in set(zip(a, b, strict=True))}
+        return pd.Series([held[key] for key in zip(a, b, strict=True)])
 
     return run
 
 
+def all_scores(a: str | None, b: str | None, names: list[str]) -> list[float | None]:
+    """The similarities of one pair; unknown where a side is empty."""
+    if not a or not b:
+        return [None] * len(names)
+    return [100.0 if a == b else SCORERS[n](a, b) for n in names]
+
+
 def score(name: str, a: Column, b: Column) -> Column:
     """A similarity of two text columns; null where a side is empty.  Levenshtein is built in, the others are Arrow functions."""
     if name == "lev":
@@ -249,143 +255,184 @@ def number_base(token: str) -> str | None:
     return (m[1].lstrip("0") or "0") if m else None
 
 
-def _number_relation(a: str, b: str) -> str:
-    base = number_base(a)
-    if base is not None and base == number_base(b):
-        return "numeric_equal"
-    return "exact" if a == b else "none"
+class TokenPair:
+    """Two tokens seen by the rules: ``words`` without look-alike digits, the shorter first, and ``sounds``, their folds."""
 
+    def __init__(self, a: str, b: str):
+        self.words = tuple(sorted((plain(a), plain(b)), key=lambda w: (len(w), w)))
+        self.sounds = (folded(a), folded(b))
 
-def _abbreviation(short: str, long: str) -> str:
-    if not 2 <= len(short) < len(long):
-        return "none"
-    if long.startswith(short):
-        kind = "prefix_abbrev"
-    elif short[0] == long[0] and len(short) <= 0.7 * len(long) and lcs(short, long) == len(short):
-        kind = "skeleton_abbrev"
-    else:
-        return "none"
-    return "short_abbrev" if len(short) == 2 else kind
+    def numeric(self) -> bool:
+        return any(map(has_digit, self.words))
+
+    def one_number(self) -> bool:
+        bases = {number_base(w) for w in self.words}
+        return len(bases) == 1 and None not in bases
+
+    def slip(self) -> bool:
+        """A few edits in spelling or sound, or much the same letters; not for words below three letters."""
+        short, long = self.words
+        allowed = 1 if len(long) <= 5 else 2
+        edited = lambda x, y: abs(len(x) - len(y)) <= allowed and damerau(x, y) <= allowed
+        return len(short) >= 3 and (edited(short, long) or edited(*self.sounds) or jaro_winkler(short, long) >= 0.92)
+
+    def start(self) -> bool:
+        short, long = self.words
+        return 2 <= len(short) < len(long) and long[: len(short)] == short
+
+    def skeleton(self) -> bool:
+        """The first letter and others in order, up to 0.7 of the length."""
+        short, long = self.words
+        return 2 <= len(short) <= 0.7 * len(long) and short[0] == long[0] and lcs(short, long) == len(short)
+
+    def two_letters(self) -> bool:
+        return len(self.words[0]) == 2 and (self.start() or self.skeleton())
+
+
+#: The first rule that holds names the relation; tokens with a digit are never typos or abbreviations of each other.
+NUMBER_RULES: list[tuple[str, Callable[[TokenPair], bool]]] = [
+    ("numeric_equal", TokenPair.one_number),
+    ("exact", lambda p: p.words[0] == p.words[1]),
+]
+WORD_RULES: list[tuple[str, Callable[[TokenPair], bool]]] = [
+    ("fold_exact", lambda p: p.words[0] == p.words[1] or p.sounds[0] == p.sounds[1]),
+    ("typo", TokenPair.slip),
+    ("short_abbrev", TokenPair.two_letters),
+    ("prefix_abbrev", TokenPair.start),
+    ("skeleton_abbrev", TokenPair.skeleton),
+]
 
 
 @lru_cache(500_000)
-def _ordered_relation(a: str, b: str) -> str:
-    x, y = plain(a), plain(b)
-    if has_digit(x) or has_digit(y):
-        return _number_relation(x, y)
-    fx, fy = folded(a), folded(b)
-    if x == y or fx == fy:
-        return "fold_exact"
-    short, long = sorted((x, y), key=len)
-    if len(short) >= 3:
-        slips = 1 if len(long) <= 5 else 2
-        near = abs(len(x) - len(y)) <= slips and damerau(x, y) <= slips
-        if near or damerau(fx, fy) <= slips or jaro_winkler(x, y) >= 0.92:
-            return "typo"
-    return _abbreviation(short, long)
+def _by_rules(pair: frozenset) -> str:
+    seen = TokenPair(*sorted(pair))
+    return next((name for name, holds in (NUMBER_RULES if seen.numeric() else WORD_RULES) if holds(seen)), "none")
 
 
 def token_relation(a: str, b: str) -> str:
     """The strongest relation of two tokens, the same in both directions."""
-    return "exact" if a == b else _ordered_relation(*sorted((a, b)))
+    return "exact" if a == b else _by_rules(frozenset((a, b)))
 
 
 relation = _paired(token_relation, T.StringType())
 
 # --- alignment -----------------------------------------------------------------------------------------------------------
 
+# Tokens of a joined word, tokens that initials may span, letters of a token that initials may skip.
 JOIN_SPAN, ACRONYM_SPAN, SKIPPED = 3, 6, 3
+_SHORT, _LONG = "\x01", "\x02"
+
+
+@dataclass(frozen=True, order=True)
+class Proposal:
+    """A possible link: proposals are taken by ``turn``, then ``rank``, while all their tokens are free."""
+
+    turn: int
+    rank: tuple
+    left: tuple[int, ...]
+    right: tuple[int, ...]
+    relation: str
+
+
+def _numbered(tokens: list[str]) -> dict[tuple[str, int], int]:
+    """Place of the n-th occurrence of each token."""
+    seen: Counter = Counter()
+    out = {}
+    for place, t in enumerate(tokens):
+        out[t, seen[t]] = place
+        seen[t] += 1
+    return out
+
+
+def _equal(left: list[str], right: list[str]) -> Iterator[Proposal]:
+    """The n-th occurrence of a token meets the n-th on the other side."""
+    there = _numbered(right)
+    for key, i in _numbered(left).items():
+        if key in there:
+            yield Proposal(0, (i,), (i,), (there[key],), "exact")
+
+
+def _joins(tokens: list[str]) -> dict[str, list[tuple[int, ...]]]:
+    """Runs of two and three tokens by the fold of their joined text."""
+    out: dict[str, list[tuple[int, ...]]] = {}
+    for start in range(len(tokens)):
+        for n in range(2, min(JOIN_SPAN, len(tokens) - start) + 1):
+            out.setdefault(folded("".join(tokens[start : start + n])), []).append(tuple(range(start, start + n)))
+    return out
+
+
+@lru_cache(50_000)
+def _speller(word: str) -> re.Pattern:
+    """Runs of token shapes (initial, short or long) that spell ``word``, at every start; short tokens with another initial are skipped."""
+    any_shape = f"[{_SHORT}{_LONG}]"
+    rest = "".join(f"(?:[^{re.escape(c)}]{_SHORT})*{re.escape(c)}{any_shape}" for c in word[1:])
+    return re.compile(f"(?=({re.escape(word[0])}{any_shape}{rest}))", re.DOTALL)
+
+
+def _spans(turn: int, words: list[str], other: list[str], flip: bool) -> Iterator[Proposal]:
+    """A word against a run of tokens of the other side: its parts first, then what it may be the initials of."""
+    joins = _joins(other)
+    shapes = "".join(t[0] + (_SHORT if len(t) <= SKIPPED else _LONG) for t in other)
+    for i, word in enumerate(words):
+        if has_digit(word):
+            continue
+        runs = []
+        if len(word) >= 4:
+            close = (run for run in joins.get(folded(word), ()) if abs(sum(len(other[k]) for k in run) - len(word)) <= 2)
+            runs += [(0, run, "split_join") for run in close]
+        if 2 <= len(word) <= 5:
+            spelt = ((m.start() // 2, len(m[1]) // 2) for m in _speller(word).finditer(shapes) if m.start() % 2 == 0)
+            runs += [(1, tuple(range(a, a + n)), "initialism") for a, n in spelt if n <= ACRONYM_SPAN]
+        for kind, run, name in runs:
+            yield Proposal(turn, (i, kind, run), run if flip else (i,), (i,) if flip else run, name)
+
+
+def _singles(left: list[str], right: list[str], free: tuple[set[int], set[int]]) -> Iterator[Proposal]:
+    """One token against one, by strength, then by nearness of relative place."""
+    for i in sorted(free[0]):
+        for j in sorted(free[1]):
+            name = token_relation(left[i], right[j])
+            if name != "none":
+                yield Proposal(3, (-STRENGTH[name], abs(i / len(left) - j / len(right))), (i,), (j,), name)
 
 
 class Alignment:
-    """Links between two token lists; ``left`` and ``right`` hold the relation of each token, or None."""
+    """Links between two token lists; ``rel`` holds the relation of each token of both, or None."""
 
     def __init__(self, left: list[str], right: list[str]):
-        self.tokens = (left, right)
-        self.rel: tuple[list, list] = ([None] * len(left), [None] * len(right))
-        self.links: list[tuple[list[int], list[int], str]] = []
-        self._equal()
-        if None in self.rel[0] or None in self.rel[1]:
-            self._spans(0)
-            self._spans(1)
-            self._rest()
-
-    def _link(self, i: list[int], j: list[int], relation: str) -> None:
-        for side, places in zip(self.rel, (i, j), strict=True):
+        self.links: list[Proposal] = []
+        self.rel: tuple[list[str | None], list[str | None]] = ([None] * len(left), [None] * len(right))
+        free = (set(range(len(left))), set(range(len(right))))
+        turns = (lambda: _equal(left, right), lambda: _spans(1, left, right, False), lambda: _spans(2, right, left, True), lambda: _singles(left, right, free))
+        for proposals in turns:
+            if free[0] and free[1]:
+                for p in sorted(proposals()):
+                    if free[0].issuperset(p.left) and free[1].issuperset(p.right):
+                        self._take(p, free)
+
+    def _take(self, p: Proposal, free: tuple[set[int], set[int]]) -> None:
+        self.links.append(p)
+        for rel, places, own in zip(self.rel, (p.left, p.right), free, strict=True):
+            own.difference_update(places)
             for k in places:
-                side[k] = relation
-        self.links.append((i, j, relation))
-
-    def _equal(self) -> None:
-        """Equal tokens, left to right, each used once."""
-        spare = {t: [j for j, x in enumerate(self.tokens[1]) if x == t][::-1] for t in set(self.tokens[0]) & set(self.tokens[1])}
-        for i, t in enumerate(self.tokens[0]):
-            if spare.get(t):
-                self._link([i], [spare[t].pop()], "exact")
-
-    def _spans(self, side: int) -> None:
-        """One free token of ``side`` against several neighbouring free ones of the other."""
-        other = self.tokens[1 - side]
-        for i, t in enumerate(self.tokens[side]):
-            if self.rel[side][i] is not None or has_digit(t):
-                continue
-            free = [r is None for r in self.rel[1 - side]]
-            found = self._joined(t, other, free) if len(t) >= 4 else None
-            relation = "split_join"
-            if found is None and 2 <= len(t) <= 5:
-                found, relation = self._acronym(t, other, free), "initialism"
-            if found is not None:
-                pair = ([i], found)
-                self._link(*(pair if side == 0 else pair[::-1]), relation)
-
-    @staticmethod
-    def _joined(t: str, other: list[str], free: list[bool]) -> list[int] | None:
-        for start in range(len(other)):
-            for stop in range(start + 2, min(len(other), start + JOIN_SPAN) + 1):
-                if not all(free[start:stop]) or len("".join(other[start : stop - 1])) >= len(t) + 2:
-                    break
-                text = "".join(other[start:stop])
-                if abs(len(text) - len(t)) <= 2 and (text == t or folded(text) == folded(t)):
-                    return list(range(start, stop))
-        return None
-
-    @staticmethod
-    def _acronym(t: str, other: list[str], free: list[bool]) -> list[int] | None:
-        for start in range(len(other)):
-            spelt, last = 0, start
-            for j in range(start, min(len(other), start + ACRONYM_SPAN)):
-                if not free[j] or spelt == len(t):
-                    break
-                if other[j][:1] == t[spelt]:
-                    spelt, last = spelt + 1, j
-                elif not spelt or len(other[j]) > SKIPPED:
-                    break
-            if spelt == len(t):
-                return list(range(start, last + 1))
-        return None
-
-    def _rest(self) -> None:
-        """Single links by strength, then by nearness of relative place, then by place."""
-        n, m = (max(len(x), 1) for x in self.tokens)
-        options = []
-        for i, a in enumerate(self.tokens[0]):
-            for j, b in enumerate(self.tokens[1]):
-                if self.rel[0][i] is None and self.rel[1][j] is None and (r := token_relation(a, b)) != "none":
-                    options.append((-STRENGTH[r], abs(i / n - j / m), i, j, r))
-        for _, _, i, j, r in sorted(options):
-            if self.rel[0][i] is None and self.rel[1][j] is None:
-                self._link([i], [j], r)
+                rel[k] = p.relation
 
     def order(self) -> float | None:
-        """Kendall's tau of the one-to-one links' places; None below two of them."""
-        at = sorted((i[0], j[0]) for i, j, _ in self.links if len(i) == len(j) == 1)
-        n = len(at)
+        """Kendall's tau of the one-to-one links' places, from the number of inversions; None below two of them."""
+        single = sorted((p.left[0], p.right[0]) for p in self.links if len(p.left) == len(p.right) == 1)
+        n = len(single)
         if n < 2:
             return None
-        up = sum(at[x][1] < at[y][1] for x in range(n) for y in range(x + 1, n))
-        return (2 * up - n * (n - 1) / 2) / (n * (n - 1) / 2)
+        passed: list[int] = []
+        inversions = 0
+        for _, j in single:
+            at = bisect.bisect(passed, j)
+            inversions += len(passed) - at
+            passed.insert(at, j)
+        return 1 - 4 * inversions / (n * (n - 1))
 
 
+# Names and order of a field's figures.
 FIELD_FEATURES = [
     "expl_frac_idf", "expl_frac_idf_min", "unexpl_max_idf_1", "unexpl_max_idf_2", "unexpl_sum_idf_1", "unexpl_sum_idf_2",
     "n_exact", "n_fold", "n_typo", "n_abbrev", "n_short_abbrev", "n_initialism", "n_splitjoin", "n_numeq",
@@ -396,7 +443,7 @@ FIELD_FEATURES = [
 def field_features(left: list[str], right: list[str], idf: tuple[list[float], list[float]], generic: tuple[list[bool], list[bool]]) -> list[float | None]:
     """How well the tokens of one field explain each other, in the order of FIELD_FEATURES."""
     al = Alignment(left, right)
-    count = Counter(r for _, _, r in al.links)
+    count = Counter(p.relation for p in al.links)
     total = [sum(w) for w in idf]
     known = [sum(w for w, r in zip(ws, rs, strict=True) if r) for ws, rs in zip(idf, al.rel, strict=True)]
     open_ = [[w for w, r, g in zip(ws, rs, gs, strict=True) if not r and not g] for ws, rs, gs in zip(idf, al.rel, generic, strict=True)]

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import numbers
 from ..functions.strings import Alignment, score
-from ..functions.text import scramble
+from ..functions.text import DERIVED, normalise_records, scramble
 
 # Wording of the evidence.
 RELATIONS = {
@@ -28,9 +28,9 @@ def field_evidence(a: pd.Series, b: pd.Series, generic: pd.Series) -> pd.DataFra
     for x, y, g in zip(a, b, generic, strict=True):
         left, right, usual = x.split(), y.split(), set(g if g is not None else ())
         al = Alignment(left, right)
-        equal = sum(r == "exact" for _, _, r in al.links)
+        equal = sum(x.relation == "exact" for x in al.links)
         parts = [f"{equal} exact"] * (equal > 0)
-        parts += [f"'{' '.join(left[i] for i in p)}'~'{' '.join(right[j] for j in q)}' ({RELATIONS.get(r, r)})" for p, q, r in al.links if r != "exact"]
+        parts += [f"'{' '.join(left[i] for i in p)}'~'{' '.join(right[j] for j in q)}' ({RELATIONS[r]})" for p, q, r in ((x.left, x.right, x.relation) for x in al.links) if r != "exact"]
         links.append("; ".join(parts[:SHOWN]) or "none")
         sides = [[t + "(generic)" * (t in usual) for t, r in zip(ts, rs, strict=True) if r is None] for ts, rs in zip((left, right), al.rel, strict=True)]
         rest.append(" | ".join(f"{n}: {' '.join(s[:SHOWN]) or '-'}" for n, s in zip("AB", sides, strict=True)))
@@ -59,32 +59,39 @@ def evidence(generic_name: Column, generic_addr: Column) -> Column:
     )
 
 
-def prompts(pairs: DataFrame, generic: DataFrame) -> DataFrame:
-    """s1_id, cand_id, user text; pairs with records and raw fields (s_raw_name, ...), generic (field, token)."""
+def prompts(pairs: DataFrame, generic: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """s1_id, cand_id, ``kept`` columns, user text; pairs with records and raw fields (s_raw_name, ...), generic (field, token)."""
     lists = {r["field"]: r["ts"] for r in generic.groupBy("field").agg(F.collect_set("token").alias("ts")).collect()}  # legal forms and street types: a short list
     arr = lambda f: F.array(*map(F.lit, sorted({*lists.get(f, []), "&"})))
     side = lambda n, p: F.format_string(f'Record {n}: name = "%s" | address = "%s"', clipped(F.col(p + "raw_name")), clipped(F.col(p + "raw_addr")))
     user = F.concat(side("A", "s_"), F.lit("\n"), side("B", "p_"), F.lit("\n\nEvidence (automatically computed):\n"), evidence(arr("norm_name"), arr("norm_addr")), F.lit("\nSame business?"))
-    return pairs.select("s1_id", "cand_id", user.alias("user"))
+    return pairs.select("s1_id", "cand_id", *(kept or []), user.alias("user"))
 
 
 def augmented(pairs: DataFrame, seed: int = 42, swap: float = 0.5, drop_addr: float = 0.05, scrambled: float = 0.07) -> DataFrame:
-    """Raw pair columns changed by hash: sides swapped, an address dropped, letters scrambled; ``aug`` names what was done."""
+    """Pairs with records and raw fields, changed by hash; ``aug`` names what was done.
+
+    One address of the two is dropped, then the letters of both records are permuted, then the sides are swapped; whatever
+    is derived from the raw fields is normalised again.
+    """
 
     def u(k: int) -> Column:
         return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(k), "s1_id", "cand_id")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
-    turned, dropped, mixed = u(1) < swap, u(2) < drop_addr, u(3) < scrambled
-    out = {}
-    for c in ("raw_name", "raw_addr"):
-        a, b = F.col(f"s_{c}"), F.col(f"p_{c}")
-        for p, x, y in (("s_", a, b), ("p_", b, a)):
-            v = F.when(turned, y).otherwise(x)
-            if (p, c) == ("p_", "raw_addr"):
-                v = F.when(dropped, "").otherwise(v)
-            out[p + c] = F.when(mixed, scramble(v, seed)).otherwise(v)
-    done = F.concat_ws("+", F.when(turned, "swap"), F.when(dropped, "drop"), F.when(mixed, "scramble"))
-    return pairs.withColumns(out | {"aug": done})
+    turned, dropped, mixed, which = u(1) < swap, u(2) < drop_addr, u(3) < scrambled, u(4) < 0.5
+    addr = {"s_": F.when(dropped & which, "").otherwise(F.col("s_raw_addr")), "p_": F.when(dropped & ~which, "").otherwise(F.col("p_raw_addr"))}
+    other = {"s_": "p_", "p_": "s_"}
+    keep = [c for c in pairs.columns if not c.startswith(("s_", "p_"))]
+    done = F.concat_ws(",", F.when(dropped, "drop_addr"), F.when(mixed, "scramble"), F.when(turned, "swap")).alias("aug")
+    out = pairs.select(*keep, done, F.struct(turned.alias("turned"), mixed.alias("mixed")).alias("how"), *[c for p in other for c in (F.col(p + "raw_name"), addr[p].alias(p + "raw_addr"), F.col(p + "country"), F.col(p + "source"))])
+    for p in other:
+        out = out.withColumns({f"{p}{c}": F.when(F.col("how.mixed"), scramble(F.col(f"{p}{c}"), seed)).otherwise(F.col(f"{p}{c}")) for c in ("raw_name", "raw_addr")})
+    fields = ("raw_name", "raw_addr", "country", "source")
+    out = out.withColumns({f"{p}{c}": F.when(F.col("how.turned"), F.col(other[p] + c)).otherwise(F.col(p + c)) for p in other for c in fields}).drop("how")
+    for p in other:
+        side = out.withColumnsRenamed({p + c: c for c in fields})
+        out = normalise_records(side).withColumnsRenamed({c: p + c for c in (*fields, *DERIVED)})
+    return out
 
 
 def attach(pairs: DataFrame, judged: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def test_alignment():
     al = S.Alignment(["sbi"], "state bank of india".split())
     assert al.rel == (["initialism"], ["initialism"] * 4)
     al = S.Alignment("walmart store".split(), "wal mart store".split())
-    assert sorted(r for _, _, r in al.links) == ["exact", "split_join"]
+    assert sorted(x.relation for x in al.links) == ["exact", "split_join"]
     assert S.Alignment([], ["a"]).rel == ([], [None])
 
 
