@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..sources.stage import written
 
 # Bit i of a mask is channel i.
 CHANNELS = ["dense", "reverse", "name_char", "addr_char", "name_tok", "num_key", "name_pair", "addr_pair", "cross_pair", "translit_name", "translit_addr"]
@@ -69,15 +70,25 @@ def weighted_postings(queries: DataFrame, pool: DataFrame, max_df: int) -> tuple
     Document frequency and the number of rows count both sides, rows without keys included.
     """
     both = queries.select(F.lit(0).alias("side"), "id", "grp", "keys").unionByName(pool.select(F.lit(1).alias("side"), "id", "grp", "keys"))
-    rows = both.groupBy("grp").agg(F.count("*").alias("n"))
-    posts = both.select("side", "id", "grp", F.explode("keys").alias("feat")).groupBy("side", "id", "grp", "feat").agg(F.count("*").alias("c"))
+    rows = written(both.select("side", "id", "grp", counted(F.col("keys")).alias("feats")), "postings")
+    n = rows.groupBy("grp").agg(F.count("*").alias("n"))
+    posts = rows.select("side", "id", "grp", F.inline("feats"))
     # counted before it is joined: a feature that all rows have costs a row for each task, and its join is split as skewed
-    df = posts.groupBy("grp", "feat").agg(F.count("*").alias("df")).join(rows, "grp")
-    posts = posts.join(df, ["grp", "feat"])
-    posts = posts.withColumn("w", (1 + F.log("c")) * idf(F.col("n"), F.col("df")))
-    norm = posts.groupBy("side", "id", "grp").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    posts = posts.join(norm, ["side", "id", "grp"]).withColumn("w", F.col("w") / F.col("norm"))
-    return posts.where("side = 0").select("grp", "feat", "id", "w"), posts.where(f"side = 1 and df <= {max_df}").select("grp", "feat", "id", "w")
+    df = posts.groupBy("grp", "feat").agg(F.count("*").alias("df")).join(n, "grp")
+    posts = posts.join(df, ["grp", "feat"]).withColumn("w", (1 + F.log("c")) * idf(F.col("n"), F.col("df")))
+    # a record's postings come together once, for their length
+    whole = posts.groupBy("side", "id", "grp").agg(F.collect_list(F.struct("feat", "df", "w")).alias("own"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    posts = whole.select("side", "id", "grp", "norm", F.inline("own")).withColumn("w", F.col("w") / F.col("norm"))
+    posts = written(posts.where(f"side = 0 or df <= {max_df}").select("side", "grp", "feat", "id", "w"), "weighted")
+    return posts.where("side = 0").select("grp", "feat", "id", "w"), posts.where("side = 1").select("grp", "feat", "id", "w")
+
+
+def counted(keys_: Column) -> Column:
+    """Structs (feat, c) of the distinct keys of an array and how often it holds them, by sorting it."""
+    s = F.array_sort(keys_)
+    heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda at, a: F.transform(at, lambda i, k: F.struct(F.get(a, i).alias("feat"), (F.coalesce(F.get(at, k + 1), F.size(a)) - i).cast("long").alias("c")))
+    return F.when(F.size(keys_) > 0, F.element_at(F.transform(F.array(F.struct(heads.alias("at"), s.alias("a"))), lambda x: runs(x["at"], x["a"])), 1))
 
 
 def ranked(scores: DataFrame, by: str, other: str, k: Column | int) -> DataFrame:
@@ -153,18 +164,23 @@ def with_prune_features(union: DataFrame) -> DataFrame:
     return out.withColumns({c: F.lit(None).cast("double") for c in PRUNE_FEATURES if c not in out.columns})
 
 
-def candidates(s1: DataFrame, pool: DataFrame, channels: list[Channel] = SPARSE, top: int = 50, reverse: bool = True) -> DataFrame:
-    """Union of the channels, pruned by the number of channels that found a pair."""
-    hits = None
+def union(s1: DataFrame, pool: DataFrame, channels: list[Channel] = SPARSE, reverse: bool = True, extra: DataFrame | None = None) -> DataFrame:
+    """One row per pair that a channel, the reverse search or the rows of ``extra`` (dense lists) found."""
+    hits = extra.select("channel", "s1_id", "cand_id", "score", "rank") if extra is not None else None
     for c in channels:
         own = channel_hits(s1, pool, c)
         hits = own if hits is None else hits.unionByName(own)
     if reverse:
         hits = hits.unionByName(reverse_hits(s1, pool))
-    names = [c.name for c in channels] + ["reverse"] * reverse
+    return union_hits(hits, [c.name for c in channels] + ["reverse"] * reverse + ["dense"] * (extra is not None))
+
+
+def candidates(s1: DataFrame, pool: DataFrame, channels: list[Channel] = SPARSE, top: int = 50, reverse: bool = True, extra: DataFrame | None = None) -> DataFrame:
+    """Union of the channels, pruned by the number of channels that found a pair."""
+    rows = union(s1, pool, channels, reverse, extra)
+    names = [c.name for c in channels] + ["reverse"] * reverse + ["dense"] * (extra is not None)
     best = F.greatest(*[F.coalesce(F.col(f"{c}_score"), F.lit(0.0)) for c in names]) if len(names) > 1 else F.col(f"{names[0]}_score")
-    union = union_hits(hits, names)
-    return prune(gaps(union, [f"{c}_score" for c in names]).withColumn("__s", F.col("n_channels") + best / 10), "__s", top).drop("__s")
+    return prune(gaps(rows, [f"{c}_score" for c in names]).withColumn("__s", F.col("n_channels") + best / 10), "__s", top).drop("__s")
 
 
 def report(union: DataFrame, pruned: DataFrame, truth: DataFrame, queried: DataFrame, n_pool: int) -> DataFrame:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocking import DIGITS, ranked
 
@@ -17,17 +24,79 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def scored_pairs(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Rows (id, grp, vec) on both sides -> s1_id, cand_id, score of all pairs of a group: the exact kernel, an equi-join."""
-    q = queries.select(F.col("id").alias("s1_id"), "grp", F.col("vec").alias("vq"))
-    p = pool.select(F.col("id").alias("cand_id"), "grp", F.col("vec").alias("vp"))
-    return q.join(p, "grp").select("s1_id", "cand_id", F.round(dot(F.col("vq"), F.col("vp")), DIGITS).alias("score"))
+#: Queries and pool rows of a group that meet in one task.
+BLOCK = 2048
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row, ties to the smaller id; columns are in the order of ids."""
+    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+
+
+def _kernel(k: int, reverse_k: int, schema: pa.Schema):
+    """Rows (forward, s1_id, cand_id, score): of each block pair the k best pool rows of each query and the other way round."""
+
+    def met(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        asks = t.column("asks").to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0, bool)
+        sides = []
+        for own in (np.flatnonzero(asks), np.flatnonzero(~asks)):
+            part = t.take(pa.array(own))
+            part = part.take(pc.sort_indices(part, sort_keys=[("id", "ascending")]))
+            vecs = part.column("vec").combine_chunks()
+            sides.append((part.column("id").combine_chunks(), np.asarray(vecs.flatten(), np.float64).reshape(len(vecs), -1)))
+        (q, x), (p, y) = sides
+        if not len(q) or not len(p):
+            return
+        scores = np.round(x @ y.T, DIGITS) + 0.0
+        for forward, best in ((True, _best(scores, k)), (False, _best(scores.T, reverse_k))):
+            row, at = np.repeat(np.arange(len(best)), best.shape[1]), best.ravel()
+            i, j = (row, at) if forward else (at, row)
+            yield pa.record_batch([pa.array(np.full(len(i), forward)), q.take(pa.array(i)), p.take(pa.array(j)), pa.array(scores[i, j])], schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            key = list(zip(*[b.column(c).to_pylist() for c in ("grp", "qb", "pb")], strict=True))
+            a = 0
+            for i in range(1, len(key) + 1):
+                if i == len(key) or key[i] != key[a]:
+                    if key[a] != last and held:
+                        yield from met(pa.Table.from_batches(held))
+                        held = []
+                    last = key[a]
+                    held.append(b.slice(a, i - a))
+                    a = i
+        if held:
+            yield from met(pa.Table.from_batches(held))
+
+    return run
+
+
+def block_hits(queries: DataFrame, pool: DataFrame, k: int, reverse_k: int) -> DataFrame:
+    """Rows (forward, s1_id, cand_id, score) of the block pairs of each group; rows (id, grp, vec) on both sides.
+
+    A group is cut into blocks of about ``BLOCK`` rows a side; each block pair is one matrix product and leaves the best of
+    each of its rows, never its pairs.  Vectors must have one length within a group.
+    """
+    count = lambda d, n: d.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    blocks = count(queries, "nq").join(count(pool, "np"), "grp")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    vec = F.transform("vec", lambda x: x.cast("double")).alias("vec")
+    q = queries.join(blocks, "grp").select("id", "grp", vec, F.lit(True).alias("asks"), own("nq").alias("qb"), every("np").alias("pb"))
+    p = pool.join(blocks, "grp").select("id", "grp", vec, F.lit(False).alias("asks"), own("np").alias("pb"), every("nq").alias("qb"))
+    rows = q.unionByName(p).repartition("grp", "qb", "pb").sortWithinPartitions("grp", "qb", "pb")
+    kinds = dict(queries.dtypes)["id"], dict(pool.dtypes)["id"]
+    out = T.StructType.fromDDL(f"forward boolean, s1_id {kinds[0]}, cand_id {kinds[1]}, score double")
+    return rows.mapInArrow(_kernel(k, reverse_k, to_arrow_schema(out)), out)
 
 
 def knn(queries: DataFrame, pool: DataFrame, k: int = 30, reverse_k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(k best pool rows of each query, reverse_k best queries of each pool row)."""
-    pairs = scored_pairs(queries, pool)
-    return ranked(pairs, "s1_id", "cand_id", k), ranked(pairs, "cand_id", "s1_id", reverse_k)
+    """(k best pool rows of each query, reverse_k best queries of each pool row), exact."""
+    hits = block_hits(queries, pool, k, reverse_k)
+    one = lambda forward: hits.where(F.col("forward") == forward).drop("forward")
+    return ranked(one(True), "s1_id", "cand_id", k), ranked(one(False), "cand_id", "s1_id", reverse_k)
 
 
 def pair_cosine(union: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
@@ -48,7 +117,7 @@ def approximate_knn(queries: DataFrame, pool: DataFrame, k: int = 30, length: fl
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    side = lambda d: d.select("id", "grp", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
+    side = lambda d: d.where("grp is not null").select("id", "grp", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
     q, p = side(queries), side(pool)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=42).fit(p)
     near = model.approxSimilarityJoin(q, p, within, "d").where("datasetA.grp = datasetB.grp")

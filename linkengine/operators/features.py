@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +15,11 @@ from . import stats
 from .blocking import CHANNELS
 
 SPARSE = CHANNELS[2:9]
+# Fields and scorers, in order.
 SCORES = [("norm_name", s) for s in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "WRatio", "jw", "lev")]
 SCORES += [("norm_addr", s) for s in ("ratio", "token_set_ratio", "jw", "lev")] + [(f, s) for f in ("fold_name", "fold_addr") for s in ("ratio", "jw")]
 QUICK = [("norm_name", s) for s in ("ratio", "token_set_ratio", "jw", "lev")] + [("norm_addr", s) for s in ("ratio", "jw", "lev")] + [("fold_name", "ratio")]
+# Names and order of the overlaps and flags.
 OVERLAPS = [
     "name_tok_jacc", "name_idf_jacc", "name_c3_jacc", "addr_tok_jacc", "addr_idf_jacc", "addr_c3_jacc", "name_len_ratio", "addr_len_ratio", "addr_empty_1", "addr_empty_2",
     "has_postcode_1", "has_postcode_2", "landmark_1", "landmark_2", "landmark_jacc", "romanized_1", "romanized_2",
@@ -63,10 +65,21 @@ def meta(cands: DataFrame, channels: list[str] = SPARSE) -> DataFrame:
     )
 
 
-def with_records(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs with both records' columns under the prefixes s_ and p_."""
-    side = lambda d, p, key: d.select(F.col("entity_id").alias(key), *[F.col(c).alias(p + c) for c in RECORD])
-    return pairs.join(side(s1, "s_", "s1_id"), "s1_id").join(side(pool, "p_", "cand_id"), "cand_id")
+def with_records(pairs: DataFrame, s1: DataFrame, pool: DataFrame, checked: bool = False) -> DataFrame:
+    """Pairs with both records' columns under the prefixes s_ and p_.
+
+    Pairs of unknown ids go, or, if ``checked``, stop the query.
+    """
+    side = lambda d, p, key: d.select(F.col("entity_id").alias(key), F.lit(True).alias(p + "known"), *[F.col(c).alias(p + c) for c in RECORD])
+    out = pairs
+    for d, p, key in ((s1, "s_", "s1_id"), (pool, "p_", "cand_id")):
+        out = out.join(side(d, p, key), key, "left" if checked else "inner")
+        if checked:
+            stop = F.raise_error(F.concat(F.lit(f"unknown {key} "), F.coalesce(key, F.lit("null"))))
+            out = out.withColumn(p + "source", F.when(F.col(p + "known"), F.col(p + "source")).otherwise(stop))
+            out = out.withColumn(key, F.when(F.col(p + "source").isNotNull() | F.col(p + "known"), F.col(key)))
+        out = out.drop(p + "known")
+    return out
 
 
 def scores(specs: list[tuple[str, str]] = SCORES) -> dict[str, Column]:
@@ -89,73 +102,110 @@ def overlaps() -> dict[str, Column]:
     return out | {"landmark_jacc": F.when((a != "") & (b != ""), jaccard(tokens(a), tokens(b)))}
 
 
-def token_weights(pairs: DataFrame, token_stats: DataFrame, field: str) -> DataFrame:
-    """s1_id, cand_id, token, in_s, in_p, idf, generic of both sides' distinct tokens, under the IDF of the S1's country."""
-    a, b = tokens(F.col(f"s_{field}")), tokens(F.col(f"p_{field}"))
-    every = F.explode(F.array_union(a, b)).alias("token")
-    rows = pairs.select("s1_id", "cand_id", F.col("s_country").alias("country"), a.alias("a"), b.alias("b"), every)
-    rows = rows.select("s1_id", "cand_id", "country", "token", F.array_contains("a", F.col("token")).alias("in_s"), F.array_contains("b", F.col("token")).alias("in_p"))
+#: Text fields whose tokens carry weights.
+FIELDS = {"name": "norm_name", "addr": "norm_addr"}
+
+
+def token_weights(texts: DataFrame, token_stats: DataFrame, field: str) -> DataFrame:
+    """id, country, ``field``_idf and ``field``_generic: arrays along the tokens of rows (id, country, ``field``).
+
+    A record's tokens are weighed once for each country that asks, not once for each pair.
+    """
+    rows = texts.select("id", "country", F.posexplode(tokens(F.col(field))).alias("pos", "token"))
     w = stats.idf_rows(token_stats, field)
     unseen = w.where("token is null").select("country", F.col("idf").alias("unseen"))
     generic = stats.generic_tokens(token_stats).where(F.col("field") == field).select("token", F.lit(True).alias("generic"))
     rows = rows.join(w.where("token is not null"), ["country", "token"], "left").join(unseen, "country", "left").join(generic, "token", "left")
-    return rows.select("s1_id", "cand_id", "token", "in_s", "in_p", F.coalesce("idf", "unseen", F.lit(1.0)).alias("idf"), (F.coalesce("generic", F.lit(False)) | (F.col("token") == "&")).alias("generic"))
-
-
-def idf_jaccard(weights: DataFrame, name: str) -> DataFrame:
-    both = F.sum(F.when(F.col("in_s") & F.col("in_p"), F.col("idf")).otherwise(0.0))
-    return weights.groupBy("s1_id", "cand_id").agg((both / F.sum("idf")).alias(name))
-
-
-def _explain(side: str):
-    names = [f"{side}_{f}" for f in strings.FIELD_FEATURES]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = []
-            for a, b, idf, generic in zip(df["a"], df["b"], df["idf"], df["generic"], strict=True):
-                left, right = a.split(), b.split()
-                idf, generic = dict(idf) if idf is not None else {}, set(generic) if generic is not None else set()
-                rows.append(strings.field_features(left, right, ([idf[t] for t in left], [idf[t] for t in right]), ([t in generic for t in left], [t in generic for t in right])))
-            out = pd.DataFrame(rows, columns=names, dtype=float)
-            out.insert(0, "cand_id", df["cand_id"].to_numpy())
-            out.insert(0, "s1_id", df["s1_id"].to_numpy())
-            yield out
-
-    return run, ", ".join(["s1_id string", "cand_id string", *[f"{n} double" for n in names]])
-
-
-def explanations(pairs: DataFrame, weights: DataFrame, side: str, field: str) -> DataFrame:
-    """The 23 features of one field; alignment is the only Python, over Arrow batches."""
-    per = weights.groupBy("s1_id", "cand_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("idf"), F.collect_list(F.when(F.col("generic"), F.col("token"))).alias("generic"))
-    rows = pairs.select("s1_id", "cand_id", F.col(f"s_{field}").alias("a"), F.col(f"p_{field}").alias("b")).join(per, ["s1_id", "cand_id"], "left")
-    run, schema = _explain(side)
-    return rows.mapInPandas(run, schema)
-
-
-def text_features(pairs: DataFrame, token_stats: DataFrame) -> DataFrame:
-    """All features but the blocking figures, of pairs with records; the pairs are written, as five plans read them."""
-    pairs = written(pairs, "pairs")
-    out = pairs.select("s1_id", "cand_id", *[c.alias(n) for n, c in (scores() | numbers.number_features() | overlaps()).items()])
-    for side, field in (("name", "norm_name"), ("addr", "norm_addr")):
-        w = written(token_weights(pairs, token_stats, field), "weights")
-        out = out.join(idf_jaccard(w, f"{side}_idf_jacc"), ["s1_id", "cand_id"], "left").join(explanations(pairs, w, side, field), ["s1_id", "cand_id"], "left")
-    return out
+    weight = F.coalesce("idf", "unseen", F.lit(1.0)).alias("idf")
+    usual = (F.coalesce("generic", F.lit(False)) | (F.col("token") == "&")).alias("generic")
+    got = F.array_sort(F.collect_list(F.struct("pos", weight, usual)))
+    return rows.groupBy("id", "country").agg(got.alias("at")).select("id", "country", F.col("at.idf").alias(f"{field}_idf"), F.col("at.generic").alias(f"{field}_generic"))
+
+
+def with_weights(pairs: DataFrame, token_stats: DataFrame, fields: list[str]) -> DataFrame:
+    """Pairs with records and, for each field, the token weights of both sides under the S1's country."""
+    for p, key in (("s_", "s1_id"), ("p_", "cand_id")):
+        texts = pairs.select(F.col(key).alias("id"), F.col("s_country").alias("country"), *[F.col(p + f).alias(f) for f in fields]).dropDuplicates(["id", "country"])
+        for f in fields:
+            w = token_weights(texts.select("id", "country", f), token_stats, f)
+            none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+            w = w.select(F.col("id").alias(key), F.col("country").alias("s_country"), F.col(f"{f}_idf").alias(f"{p}{f}_idf"), F.col(f"{f}_generic").alias(f"{p}{f}_generic"))
+            pairs = pairs.join(w, [key, "s_country"], "left")
+            pairs = pairs.withColumns({f"{p}{f}_idf": none(F.col(f"{p}{f}_idf"), "double"), f"{p}{f}_generic": none(F.col(f"{p}{f}_generic"), "boolean")})
+    return pairs
+
+
+def idf_jaccard(field: str) -> Column:
+    """Share of the IDF of both sides' distinct tokens that common ones hold; null where there are none."""
+    a, b = tokens(F.col(f"s_{field}")), tokens(F.col(f"p_{field}"))
+    worth = lambda ts, w: F.array_distinct(F.arrays_zip(ts.alias("t"), F.col(w).alias("w")))
+    x, y = worth(a, f"s_{field}_idf"), worth(b, f"p_{field}_idf")
+    total = lambda rows: F.aggregate(rows, F.lit(0.0), lambda s, r: s + r["w"])
+    every = F.concat(x, F.filter(y, lambda r: ~F.array_contains(a, r["t"])))
+    return F.when(F.size(every) > 0, total(F.filter(x, lambda r: F.array_contains(b, r["t"]))) / total(every))
+
+
+#: What the Arrow pass works out for each pair.
+PYTHON = SCORE_NAMES + EXPLAIN
+
+
+def _figures(names: list[str], kept: list[str]):
+    """Scores and explanations of batches of pairs with weights; ``kept`` columns go through."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
+            out: dict[str, list] = {}
+            for field in dict.fromkeys(f for f, _ in SCORES):
+                own = [s for f, s in SCORES if f == field]
+                keys = list(zip(col(f"s_{field}"), col(f"p_{field}"), strict=True))
+                held = {k: strings.all_scores(*k, own) for k in set(keys)}
+                out |= {f"{field}_{s}": [held[k][i] for k in keys] for i, s in enumerate(own)}
+            for side, field in FIELDS.items():
+                left, right = ([x.split() for x in col(p + field)] for p in ("s_", "p_"))
+                idf, usual = zip(col(f"s_{field}_idf"), col(f"p_{field}_idf"), strict=True), zip(col(f"s_{field}_generic"), col(f"p_{field}_generic"), strict=True)
+                rows = [strings.field_features(*x) for x in zip(left, right, idf, usual, strict=True)]
+                out |= {f"{side}_{n}": [r[i] for r in rows] for i, n in enumerate(strings.FIELD_FEATURES)}
+            through = [b.column(b.schema.get_field_index(c)) for c in kept]
+            yield pa.record_batch([*through, *[pa.array([None if v is None else float(v) for v in out[n]], pa.float64()) for n in names]], names=[*kept, *names])
+
+    return run
+
+
+def text_features(pairs: DataFrame, token_stats: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """All features but the blocking figures, of pairs with records; ``kept`` columns stay in front.
+
+    Expressions run in the JVM; one Arrow pass adds the scores and the alignment, distinct texts of a batch once.
+    """
+    kept = ["s1_id", "cand_id", *(kept or [])]
+    rows = with_weights(pairs, token_stats, list(FIELDS.values()))
+    own = numbers.number_features() | overlaps() | {f"{side}_idf_jacc": idf_jaccard(f) for side, f in FIELDS.items()}
+    through = rows.select(*kept, *[c.cast("float").alias(n) for n, c in own.items()], *[p + f for f in dict.fromkeys(f for f, _ in SCORES) for p in ("s_", "p_")], *[f"{p}{f}_{w}" for f in FIELDS.values() for p in ("s_", "p_") for w in ("idf", "generic")])
+    stay = [*kept, *own]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in through.schema.fields if f.name in stay) + ", " + ", ".join(f"`{n}` double" for n in PYTHON)
+    return through.mapInArrow(_figures(PYTHON, stay), schema)
 
 
 def pair_features(cands: DataFrame, s1: DataFrame, pool: DataFrame, token_stats: DataFrame, channels: list[str] = SPARSE) -> DataFrame:
-    """s1_id, cand_id and the features as floats."""
-    text = text_features(with_records(cands.select("s1_id", "cand_id"), s1, pool), token_stats)
-    names = meta_names(channels) + FEATURES[len(meta_names()) :]
-    return meta(cands, channels).join(text, ["s1_id", "cand_id"]).select("s1_id", "cand_id", *[F.col(n).cast("float").alias(n) for n in names])
+    """s1_id, cand_id and the features as floats.  A candidate whose id is in neither table is an error, not a lost row."""
+    known, names = meta_names(channels), FEATURES[len(meta_names()) :]
+    figures = meta(cands, channels)
+    out = text_features(with_records(figures, s1, pool, checked=True), token_stats, known)
+    return out.select("s1_id", "cand_id", *[F.col(n).cast("float").alias(n) for n in known + names])
 
 
 def delta_features(cands: DataFrame, earlier: DataFrame, s1: DataFrame, pool: DataFrame, token_stats: DataFrame, channels: list[str] = SPARSE) -> DataFrame:
-    """Like :func:`pair_features`; text features of pairs in ``earlier`` are reused, only new pairs are computed."""
+    """Like :func:`pair_features`; text features of pairs in ``earlier`` are reused, only new pairs are computed.
+
+    The result has a row for each candidate, which is asserted: an earlier table with repeated pairs stops the query.
+    """
     names = FEATURES[len(meta_names()) :]
     keys = ["s1_id", "cand_id"]
-    earlier = written(earlier, "earlier")
+    cands, earlier = written(cands, "cands"), written(earlier, "earlier")
     old = earlier.select(*keys, *names).join(cands.select(*keys), keys, "left_semi")
-    fresh = text_features(with_records(cands.select(*keys).join(earlier.select(*keys), keys, "left_anti"), s1, pool), token_stats)
-    text = old.unionByName(fresh.select(*keys, *[F.col(n).cast("float").alias(n) for n in names]))
+    fresh = text_features(with_records(cands.select(*keys).join(earlier.select(*keys), keys, "left_anti"), s1, pool, checked=True), token_stats)
+    text = written(old.unionByName(fresh.select(*keys, *[F.col(n).cast("float").alias(n) for n in names])), "text")
+    many, wanted = text.count(), cands.count()
+    if many != wanted:
+        raise ValueError(f"{many} rows of text features for {wanted} candidates")
     return meta(cands, channels).join(text, keys).select(*keys, *[F.col(n).cast("float").alias(n) for n in meta_names(channels) + names])
