@@ -117,13 +117,21 @@ def ece(scored: DataFrame, p: str = "p", y: str = "label", bins: int = 15) -> Da
 
 
 def auc_logloss(scored: DataFrame, group: str, p: str = "p", y: str = "label") -> DataFrame:
-    """Exact AUC and log-loss for each group.  Ranks come from counts of equal scores, not from a sort of all rows."""
+    """Exact AUC and log-loss for each group.
+
+    Ranks come from counts of equal scores, not from a sort of all rows, and are summed in 1024 slices of the score's range,
+    each of which starts after those before it, so that a group of many distinct scores is not one task.
+    """
     label = F.col(y).cast("double")
     clipped = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
     loss = -(label * F.log(clipped) + (1 - label) * F.log(1 - clipped))
     per = scored.groupBy(group, p).agg(F.count("*").alias("c"), F.sum(label).alias("pos"), F.sum(loss).alias("loss"))
-    below = F.coalesce(F.sum("c").over(Window.partitionBy(group).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("rank_sum", F.col("pos") * (below + (F.col("c") + 1) / 2))
+    per = per.withColumn("__s", F.least(F.greatest(F.floor(F.col(p) * 1024), F.lit(-1)), F.lit(1024)))
+    before = lambda value, w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = per.groupBy(group, "__s").agg(F.sum("c").alias("__n"))
+    slices = slices.select(group, "__s", before("__n", Window.partitionBy(group).orderBy("__s")).alias("__before"))
+    below = F.col("__before") + before("c", Window.partitionBy(group, "__s").orderBy(p))
+    per = per.join(slices, [group, "__s"]).withColumn("rank_sum", F.col("pos") * (below + (F.col("c") + 1) / 2))
     tot = per.groupBy(group).agg(F.sum("c").alias("n"), F.sum("pos").alias("np"), F.sum("rank_sum").alias("rs"), F.sum("loss").alias("loss"))
     neg = F.col("n") - F.col("np")
     auc = F.when((F.col("np") > 0) & (neg > 0), (F.col("rs") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * neg))
@@ -152,11 +160,22 @@ def platt(p: Column, slope: float, intercept: float) -> Column:
 
 
 def interpolated(p: Column, xs: list[float], ys: list[float]) -> Column:
-    """Piecewise linear values between breakpoints, constant beyond them, without a model in the plan."""
+    """Piecewise linear values between breakpoints, constant beyond them, without a model in the plan; found by bisection."""
     x, y = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
-    i = F.size(F.filter(x, lambda v: v <= p))
-    x0, x1, y0, y1 = F.get(x, i - 1), F.get(x, i), F.get(y, i - 1), F.get(y, i)
-    return F.when(i == 0, ys[0]).when(i >= len(xs), ys[-1]).otherwise(y0 + (p - x0) * (y1 - y0) / (x1 - x0))
+    span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halved(s: Column, _: Column) -> Column:
+        """The number of breakpoints up to p lies in lo..hi."""
+        mid = F.floor((s["lo"] + s["hi"]) / 2)
+        return F.when(s["lo"] >= s["hi"], s).when(F.get(x, mid.cast("int")) <= p, span(mid + 1, s["hi"])).otherwise(span(s["lo"], mid))
+
+    def valued(s: Column) -> Column:
+        i = s["lo"]
+        x0, x1, y0, y1 = F.get(x, i - 1), F.get(x, i), F.get(y, i - 1), F.get(y, i)
+        return F.when(i == 0, ys[0]).when(i >= len(xs), ys[-1]).otherwise(y0 + (p - x0) * (y1 - y0) / (x1 - x0))
+
+    steps = F.sequence(F.lit(0), F.lit(len(xs).bit_length()))
+    return F.when(p.isNotNull(), F.aggregate(steps, span(F.lit(0), F.lit(len(xs))), halved, valued))
 
 
 def hash_fold(column: str, k: int, seed: int = 42) -> Column:
@@ -230,3 +249,16 @@ def error_buckets(pred: DataFrame, truth: DataFrame, cands: DataFrame, ids: Data
         .when(F.col("chain"), "chain_branch").when(F.col("noise"), "heavy_noise").otherwise("other")
     )
     return per.join(n_true, "s1_id", "left").select("s1_id", bucket.alias("bucket"), "n_fp", "n_fn", "n_miss_blocking")
+
+
+def error_examples(scored: DataFrame, pred: DataFrame, truth: DataFrame, s1: DataFrame, pool: DataFrame, most: int = 50, seed: int = 42) -> DataFrame:
+    """kind (missed or wrong), s1_id, cand_id, p and the raw fields of ``most`` errors of each kind, by hash; a report."""
+    keys = ["s1_id", "cand_id"]
+    lost = truth.select(*keys).join(pred.select(*keys), keys, "left_anti").withColumn("kind", F.lit("missed"))
+    extra = pred.select(*keys).join(truth.select(*keys), keys, "left_anti").withColumn("kind", F.lit("wrong"))
+    pair = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    w = Window.partitionBy("kind").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), pair)), *keys)
+    some = lost.unionByName(extra).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+    side = lambda d, p, k: d.select(F.col("entity_id").alias(k), F.col("raw_name").alias(f"{p}_raw_name"), F.col("raw_addr").alias(f"{p}_raw_addr"))
+    out = some.join(scored.select(*keys, "p"), keys, "left").join(side(s1, "s", "s1_id"), "s1_id").join(side(pool, "p", "cand_id"), "cand_id")
+    return out.select("kind", *keys, "p", "s_raw_name", "s_raw_addr", "p_raw_name", "p_raw_addr")

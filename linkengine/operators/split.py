@@ -61,8 +61,22 @@ def split_report(split: DataFrame) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, column: str, n: int, seed: int = 42) -> DataFrame:
-    """A seeded sample of ``n`` rows without replacement: the first by hash."""
-    return df.orderBy(hash_order(column, seed), column).limit(n)
+    """A seeded sample of ``n`` rows without replacement: the first by hash.
+
+    The rows of each of 4096 hash slices are counted; whole slices are taken by a filter, and only the slice in which the
+    sample ends is sorted, so that a sample may grow with the data.
+    """
+    rows = df.withColumn("__h", hash_order(column, seed)).withColumn("__b", F.substring("__h", 1, 3))
+    left, last = n, ""
+    for part, count in sorted((r["__b"], r["count"]) for r in rows.groupBy("__b").count().collect()):
+        last = part
+        if count > left:
+            break
+        left -= count
+        last = part + "~"
+    whole = rows.where(F.col("__b") < last)
+    some = rows.where(F.col("__b") == last).orderBy("__h", column).limit(max(left, 0))
+    return whole.unionByName(some).drop("__h", "__b")
 
 
 def crc_sample(df: DataFrame, column: str, per_mille: int, keep: DataFrame | None = None) -> DataFrame:

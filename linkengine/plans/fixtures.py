@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_records
+from ..sources.stage import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +67,37 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(queries, pool) of (id, grp, vec): every third vector asks the others of its label."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vec"))
     return rows.where("id % 3 = 0"), rows.where("id % 3 <> 0")
+
+
+def varied_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all raw records, truth, native truth): each page beside a changed copy of itself, source V, id V + id.
+
+    By its number the copy has two letters swapped, its words reversed, its first word dropped, its letters a as e, or, as a
+    native spelling, Cyrillic letters; every other address has other digits.
+    """
+    raw = raw_records(spark, sf_dir).drop("url")
+    n = F.substring_index("entity_id", "-", -1).cast("long")
+    name, words = F.col("raw_name"), F.split("raw_name", " ")
+    swapped = F.concat(F.substring(name, 1, 1), F.substring(name, 3, 1), F.substring(name, 2, 1), F.substring(name, F.lit(4), F.length(name)))
+    kind = n % 5
+    other = (
+        F.when(kind == 0, swapped).when(kind == 1, F.array_join(F.reverse(words), " ")).when(kind == 2, F.array_join(F.slice(words, F.lit(2), F.size(words)), " "))
+        .when(kind == 3, F.replace(name, F.lit("a"), F.lit("e"))).otherwise(F.translate(F.lower(name), *CYRILLIC))
+    )
+    addr = F.when(n % 2 == 0, F.replace("raw_addr", F.lit("1"), F.lit("2"))).otherwise(F.col("raw_addr"))
+    copies = raw.select(F.concat(F.lit("V"), "entity_id").alias("entity_id"), F.lit("V").alias("source"), "country", other.alias("raw_name"), addr.alias("raw_addr"))
+    pairs = raw.select(F.col("entity_id").alias("s1_id"), F.concat(F.lit("V"), "entity_id").alias("cand_id"), (kind == 4).alias("native"))
+    return raw.unionByName(copies), pairs.where("not native").drop("native"), pairs.where("native").drop("native")
+
+
+#: Latin letters and the Cyrillic ones that stand for them in native copies.
+CYRILLIC = ("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувщхыз")
+
+
+def varied_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs of pages and their changed copies with records, all records)."""
+    from ..operators import features
+
+    raw, truth, _ = varied_records(spark, sf_dir)
+    rows = written(normalise_records(raw), "varied")
+    return features.with_records(truth, rows.where("source <> 'V'"), rows.where("source = 'V'")), rows

@@ -15,6 +15,27 @@ truth AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM raw a JOIN ra
 ids AS (SELECT entity_id AS s1_id, country FROM raw WHERE source = 'S1')
 """
 
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувщхыз"
+#: Each page beside a changed copy of itself.
+VARIED = RAW.replace("raw AS (", "raw0 AS (").rstrip() + f""",
+raw1 AS (SELECT *, CAST(split_part(entity_id, '-', 2) AS BIGINT) AS num FROM raw0),
+raw AS (SELECT entity_id, source, country, raw_name, raw_addr, article FROM raw0 UNION ALL
+  SELECT 'V' || entity_id, 'V', country, CASE num % 5 WHEN 0 THEN substr(raw_name, 1, 1) || substr(raw_name, 3, 1) || substr(raw_name, 2, 1) || substr(raw_name, 4)
+    WHEN 1 THEN array_to_string(list_reverse(string_split(raw_name, ' ')), ' ') WHEN 2 THEN array_to_string(string_split(raw_name, ' ')[2:], ' ')
+    WHEN 3 THEN replace(raw_name, 'a', 'e') ELSE translate(lower(raw_name), '{_LATIN}', '{_CYRILLIC}') END,
+    CASE WHEN num % 2 = 0 THEN replace(raw_addr, '1', '2') ELSE raw_addr END, article FROM raw1)
+"""
+VARIED_TRUTH = """
+truth AS (SELECT entity_id AS s1_id, 'V' || entity_id AS cand_id FROM raw1 WHERE num % 5 <> 4),
+native AS (SELECT entity_id AS s1_id, 'V' || entity_id AS cand_id FROM raw1 WHERE num % 5 = 4),
+ids AS (SELECT entity_id AS s1_id, country FROM raw0)
+"""
+
+
+def varied(sql: str) -> str:
+    """A query of the pages over the pages and their changed copies."""
+    return sql.replace(RAW, VARIED).replace(TRUTH, VARIED_TRUTH)
+
 
 def _tok(x: str) -> str:
     return f"list_filter(string_split_regex({x}, '\\s+'), lambda t : t <> '')"
@@ -118,7 +139,7 @@ def topk(name: str) -> str:
 REVERSE = f"WITH {NORM}, {_topk_ctes('name_char', 'reverse', True, 3)} SELECT s1_id, cand_id, score, rank FROM reverse"
 
 BIT = {"reverse": 2, "name_char": 4, "addr_char": 8, "name_tok": 16, "num_key": 32, "name_pair": 64, "addr_pair": 128, "cross_pair": 256}
-_SOME = ["name_tok", "num_key", "name_pair", "reverse"]
+_SOME = [*KEYS, "reverse"]
 _HITS = ",".join(_topk_ctes("name_char", c, True, 3) if c == "reverse" else _topk_ctes(c, c) for c in _SOME)
 _UNION = f"""
 WITH {NORM}, {_HITS},
@@ -226,14 +247,28 @@ DECISIONS = {
     "auc_logloss": f"""WITH {PAIRS}, j AS (SELECT country, p, label FROM pairs JOIN oids USING (s1_id)), r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY country, p) - 1) / 2 AS ar FROM j WINDOW w AS (PARTITION BY country ORDER BY p))
       SELECT country, count(*) AS n, round((sum(ar) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 6) AS auc,
       round(-avg(CASE WHEN label = 1 THEN ln(least(greatest(p, 1e-15), 1 - 1e-15)) ELSE ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)) END), 6) AS logloss FROM r GROUP BY 1""",
-    "isotonic": """WITH x AS (SELECT least(n_chars, 4000) // 40 AS p, avg(quality) AS y, count(*) AS w FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+    "isotonic": """WITH x AS (SELECT n_chars // 40 AS p, avg(quality) AS y, count(*) AS w FROM documents JOIN labels USING (doc_id) GROUP BY 1),
       s AS (SELECT a.p AS a, b.p AS b, sum(x.y * x.w) / sum(x.w) AS m FROM x a JOIN x b ON a.p <= b.p JOIN x ON x.p BETWEEN a.p AND b.p GROUP BY 1, 2),
       lo AS (SELECT i.p, s.a, min(s.m) AS m FROM x i JOIN s ON s.b >= i.p AND s.a <= i.p GROUP BY 1, 2) SELECT p, round(max(m), 6) AS y FROM lo GROUP BY 1""",
     "entity_context": f"""WITH {PAIRS}, q AS (SELECT *, p / greatest(sum(p) OVER (PARTITION BY s1_id), 1e-12) AS share, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_id) - 1 AS rank FROM pairs)
       SELECT s1_id, cand_id, rank, round(p - max(p) OVER w, 9) AS gap, count(*) FILTER (p > 0.5) OVER w AS n_likely, round(sum(CASE WHEN share > 0 THEN -share * ln(share) ELSE 0 END) OVER w, 9) AS entropy,
       round(max(p) OVER w - coalesce(max(p) FILTER (rank = 1) OVER w, 0), 9) AS margin, round(share, 9) AS share FROM q WINDOW w AS (PARTITION BY s1_id)""",
     "competition": f"WITH {PAIRS} SELECT s1_id, cand_id, count(*) FILTER (p > 0.05) OVER w AS n_claimants, round(p - coalesce(max(p) FILTER (p > 0.05) OVER w, 0), 6) AS margin_to_best FROM pairs WINDOW w AS (PARTITION BY cand_id)",
-    "group_folds": f"WITH {PAIRS} SELECT s1_id, cand_id, ('0x' || substr(md5('42|' || s1_id), 1, 8))::BIGINT % 5 AS fold FROM pairs",
+    "group_folds": f"WITH {PAIRS}, g AS (SELECT s1_id, (row_number() OVER (ORDER BY md5('42|' || s1_id), s1_id) - 1) % 5 AS fold FROM (SELECT DISTINCT s1_id FROM pairs)) SELECT s1_id, cand_id, CAST(fold AS INTEGER) AS fold FROM pairs JOIN g USING (s1_id)",
+    "train_band": f"""WITH {PAIRS}, b AS (SELECT *, CASE WHEN p BETWEEN 0.05 AND 0.95 THEN 1 ELSE 0 END AS band, md5('42|' || s1_id || '|' || cand_id) AS h, s1_id || '|' || cand_id AS k FROM pairs),
+      c AS (SELECT * FROM b WHERE band = 1 UNION ALL (SELECT * FROM b WHERE band = 0 QUALIFY row_number() OVER (ORDER BY h, k) <= (SELECT CAST(floor(0.1 * count(*)) AS BIGINT) FROM b WHERE band = 1))),
+      n AS (SELECT least((SELECT count(*) FROM c WHERE label = 1), 6666) AS np), m AS (SELECT np, least((SELECT count(*) FROM c WHERE label = 0), np * 2, 20000 - np) AS nn FROM n)
+      SELECT s1_id, cand_id, p, label, band FROM c, m QUALIFY row_number() OVER (PARTITION BY label ORDER BY h, k) <= CASE WHEN label = 1 THEN np ELSE nn END""",
+    "floor_mask": f"WITH {PAIRS} SELECT s1_id, cand_id, CASE WHEN p >= 0.5 THEN p * p ELSE p END AS p FROM pairs",
+    "queue_depth": f"WITH {PAIRS}, q AS (SELECT abs(p - 0.5) AS d, s1_id % 2 AS split FROM pairs WHERE p BETWEEN 0.1 AND 0.9) SELECT min(d) AS depth FROM (SELECT split, max(d) AS d FROM q GROUP BY 1)",
+    "top_per": f"WITH {PAIRS} SELECT s1_id, cand_id, p FROM pairs QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_id) <= 2",
+    "judge_attached": f"WITH {PAIRS} SELECT s1_id, cand_id, p, CASE WHEN p BETWEEN 0.1 AND 0.9 THEN 1 - p END AS pl FROM pairs",
+    "missed_pairs": f"""WITH {PAIRS} SELECT s1_id AS s1_id, o_orderstatus AS s1_name, o_orderpriority AS s1_addr, cand_id, p_name AS cand_name, p_brand AS cand_addr
+      FROM pairs JOIN orders ON o_orderkey = s1_id JOIN part ON p_partkey = cand_id WHERE label = 1 AND p < 0.5 ORDER BY s1_id, cand_id LIMIT 200""",
+    "error_examples": f"""WITH {PAIRS}, w AS (SELECT s1_id, cand_id, CASE WHEN label = 1 THEN 'missed' ELSE 'wrong' END AS kind, p FROM pairs WHERE (label = 1) <> (p >= 0.5)),
+      e AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42|' || s1_id || '|' || cand_id), s1_id, cand_id) AS r FROM w)
+      SELECT kind, s1_id, cand_id, round(p, 6) AS p, o_orderstatus AS s_raw_name, o_orderpriority AS s_raw_addr, p_name AS p_raw_name, p_brand AS p_raw_addr
+      FROM e JOIN orders ON o_orderkey = s1_id JOIN part ON p_partkey = cand_id WHERE r <= 50""",
     "uncertain_band": f"WITH {PAIRS} SELECT s1_id, cand_id, p FROM pairs WHERE p BETWEEN 0.1 AND 0.9 ORDER BY abs(p - 0.5), s1_id, cand_id LIMIT 500",
     "label_join": f"WITH {PAIRS} SELECT p.s1_id, p.cand_id, CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS label FROM pairs p LEFT JOIN (SELECT DISTINCT s1_id, cand_id FROM pairs WHERE label = 1) t ON p.s1_id = t.s1_id AND p.cand_id = t.cand_id",
     "id_list_sink": f"WITH {PAIRS} SELECT i.s1_id, coalesce(string_agg(DISTINCT lpad(CAST(cand_id AS VARCHAR), 9, '0'), ',' ORDER BY lpad(CAST(cand_id AS VARCHAR), 9, '0')) FILTER (p >= 0.5), '') AS ids FROM oids i LEFT JOIN pairs USING (s1_id) GROUP BY 1",
@@ -309,7 +344,7 @@ OTHERS = {
       e AS (SELECT s1_id, cand_id, country, x, y, unnest(list_distinct(list_concat(x, y))) AS token FROM pr),
       w AS (SELECT e.*, coalesce(ln((st.n_docs + 1) / (st.df + 1)) + 1, ln(((SELECT count(*) FROM norm n WHERE n.country = e.country) + 1) / 2) + 1) AS w FROM e LEFT JOIN st ON st.field = 'norm_name' AND st.country = e.country AND st.token = e.token)
       SELECT s1_id, cand_id, round(sum(CASE WHEN list_contains(x, token) AND list_contains(y, token) THEN w ELSE 0 END) / sum(w), 6) AS name_idf_jacc FROM w GROUP BY 1, 2""",
-    "record_text": rf"WITH {RAW} SELECT entity_id, array_to_string(list_filter([trim(regexp_replace(raw_name, '\s+', ' ', 'g')), trim(regexp_replace(raw_addr, '\s+', ' ', 'g'))], lambda t : t <> ''), ' | ') AS text FROM raw",
+    "record_text": rf"WITH {RAW}, x AS (SELECT entity_id, trim(regexp_replace(raw_name, '\s+', ' ', 'g')) AS n, trim(regexp_replace(raw_addr, '\s+', ' ', 'g')) AS a FROM raw) SELECT entity_id, CASE WHEN a = '' THEN n ELSE n || ' | ' || a END AS text FROM x",
     "id_code": f"WITH {RAW} SELECT entity_id, CAST(substr(entity_id, 2, 1) AS BIGINT) * 1000000000000 + CAST(split_part(entity_id, '-', 2) AS BIGINT) AS code FROM raw",
     "dice_dictionary": """WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}]+')) AS ts, lang FROM documents),
       r AS (SELECT list_filter(ts, lambda x : regexp_matches(x, '[àâäáçéèêëíîïñóôöúùûüß]')) AS a, list_filter(ts, lambda x : NOT regexp_matches(x, '[^a-z]')) AS b FROM t WHERE false) SELECT 1 AS x WHERE false""",
@@ -317,3 +352,42 @@ OTHERS = {
     "event_sessions": "WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k",
 }
 del OTHERS["dice_dictionary"]
+
+for _name in ("jaccards", "number_features", "levenshtein_sim", "jaro_winkler", "damerau", "idf_jaccard"):
+    OTHERS[_name] = varied(OTHERS[_name])
+
+OTHERS["string_scores"] = varied(_true_pairs(", ".join(
+    f"CASE WHEN a.{f} <> '' AND b.{f} <> '' THEN {e.format(a=f'a.{f}', b=f'b.{f}')} END AS {f}_{n}"
+    for f, n, e in [
+        ("norm_name", "jw", "round(jaro_winkler_similarity({a}, {b}) * 100, 6)"), ("norm_addr", "jw", "round(jaro_winkler_similarity({a}, {b}) * 100, 6)"),
+        ("fold_name", "jw", "round(jaro_winkler_similarity({a}, {b}) * 100, 6)"), ("fold_addr", "jw", "round(jaro_winkler_similarity({a}, {b}) * 100, 6)"),
+        ("norm_name", "lev", "round((1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))) * 100, 6)"),
+        ("norm_addr", "lev", "round((1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))) * 100, 6)"),
+    ]
+)))
+
+_NATIVE = varied(f"""WITH {NORM}, {TRUTH}, tk AS (SELECT t.s1_id, list_distinct(list_filter(regexp_extract_all(lower(b.raw_name || ' ' || b.raw_addr), '[\\p{{L}}\\p{{M}}\\p{{N}}&]+'), lambda w : regexp_matches(w, '[а-я]'))) AS a,
+    list_distinct(list_filter(list_concat({_tok("a.norm_name")}, {_tok("a.norm_addr")}), lambda w : regexp_matches(w, '^[ -~]+$'))) AS b
+    FROM native t JOIN norm a ON a.entity_id = t.s1_id JOIN norm b ON b.entity_id = t.cand_id),
+  ok AS (SELECT * FROM tk WHERE len(a) > 0 AND len(b) > 0), na AS (SELECT n, count(*) AS cn FROM (SELECT unnest(a) AS n FROM ok) GROUP BY 1), nb AS (SELECT l, count(*) AS cl FROM (SELECT unnest(b) AS l FROM ok) GROUP BY 1),
+  co AS (SELECT n, l, count(*) AS c FROM (SELECT n, unnest(b) AS l FROM (SELECT unnest(a) AS n, b FROM ok)) GROUP BY 1, 2 HAVING count(*) >= 3),
+  dc AS (SELECT n, l, c, 2.0 * c / (cn + cl) AS dice FROM co JOIN na USING (n) JOIN nb USING (l))""")
+OTHERS["dice_dictionary"] = f"{_NATIVE} SELECT n AS native_token, l AS latin_token, c, round(dice, 9) AS dice FROM dc WHERE dice >= 0.5 QUALIFY row_number() OVER (PARTITION BY n ORDER BY dice DESC, c DESC, l) = 1"
+OTHERS["crc_sample"] = f"WITH {RAW} SELECT entity_id FROM raw WHERE source = 'S1'"
+
+#: Lines of a small output with some of each problem, ids that must and may occur, and its candidates.
+OUTPUT = {
+    "lines": ["S1-1\tS2-1,S2-1", "S1-2\tS2-2,,S3-9", "S1-2\t", "S1-3 \tS2-1", "S1-4", "S1-9\tX-1", "S1-5\tS3-3"],
+    "required": ["S1-1", "S1-2", "S1-3", "S1-4", "S1-5"], "valid": ["S2-1", "S2-2", "S3-3"], "candidates": ["S1-1\tS2-1", "S1-2\tS2-2"],
+}
+_VALUES = ", ".join(f"{n}(value) AS (VALUES {', '.join(repr(v).replace(chr(92) + 't', chr(9)).join(['(', ')']) for v in vs)})" for n, vs in OUTPUT.items())
+OTHERS["output_checks"] = f"""WITH {_VALUES},
+  r AS (SELECT value, string_split(value, chr(9))[1] AS id, len(string_split(value, chr(9))) - 1 AS tabs, coalesce(string_split(value, chr(9))[2], '') AS rest FROM lines),
+  x AS (SELECT *, CASE WHEN rest = '' THEN [] ELSE string_split(rest, ',') END AS ids FROM r), pr AS (SELECT DISTINCT id, unnest(ids) AS c FROM x),
+  ca AS (SELECT string_split(value, chr(9))[1] AS id, unnest(string_split(string_split(value, chr(9))[2], ',')) AS c FROM candidates)
+  SELECT 'not exactly one tab' AS problem, count(*) AS n FROM x WHERE tabs <> 1 UNION ALL SELECT 'spaces, quotes or carriage returns', count(*) FROM x WHERE regexp_matches(value, '[ "''\r]')
+  UNION ALL SELECT 'empty id in a list', count(*) FROM x WHERE list_contains(ids, '') UNION ALL SELECT 'duplicate ids in a list', count(*) FROM x WHERE len(list_distinct(ids)) < len(ids)
+  UNION ALL SELECT 'id without a source prefix', count(*) FROM x WHERE len(list_filter(ids, lambda i : NOT regexp_matches(i, '^S[23]-'))) > 0
+  UNION ALL SELECT 'duplicate rows', count(*) FROM (SELECT id FROM x GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'required ids missing', count(*) FROM required WHERE value NOT IN (SELECT id FROM x)
+  UNION ALL SELECT 'unknown first ids', count(DISTINCT id) FROM x WHERE id NOT IN (SELECT value FROM required) UNION ALL SELECT 'unknown matched ids', count(*) FROM pr WHERE c NOT IN (SELECT value FROM valid)
+  UNION ALL SELECT 'matched ids outside the candidates', count(*) FROM pr ANTI JOIN ca USING (id, c)"""

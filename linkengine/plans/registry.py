@@ -39,12 +39,10 @@ def _topk(name: str) -> Query:
     return lambda s, d: blocking.channel_hits(*fx.sides(fx.records(s, d)), channel).drop("channel")
 
 
-#: The channels of the union's SQL; queries without SQL take all of blocking.SPARSE.
-_SOME = ["name_tok", "num_key", "name_pair"]
 _ALL = [c.name for c in blocking.SPARSE]
 
 
-def _union(s: SparkSession, d: str, channels: list[str] = _SOME) -> DataFrame:
+def _union(s: SparkSession, d: str, channels: list[str] = _ALL) -> DataFrame:
     s1, pool = fx.sides(written(fx.records(s, d), "records"))
     hits = blocking.reverse_hits(s1, pool)
     for c in blocking.SPARSE:
@@ -65,8 +63,7 @@ def _f(f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
 
 def _true(columns: dict[str, Callable[[], Column]]) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        pairs = features.with_records(fx.truth(s, d), *fx.sides(fx.records(s, d)))
-        return _rounded(pairs.select("s1_id", "cand_id", *[c().alias(n) for n, c in columns.items()]))
+        return _rounded(fx.varied_pairs(s, d)[0].select("s1_id", "cand_id", *[c().alias(n) for n, c in columns.items()]))
 
     return run
 
@@ -82,7 +79,7 @@ def _profile(f: Callable) -> Query:
 
 
 def _isotonic(s: SparkSession, d: str) -> DataFrame:
-    rows = fx.table(s, d, "documents").join(fx.table(s, d, "labels"), "doc_id").select(F.floor(F.least("n_chars", F.lit(4000)) / 40).alias("p"), F.col("quality").alias("label"))
+    rows = fx.table(s, d, "documents").join(fx.table(s, d, "labels"), "doc_id").select(F.floor(F.col("n_chars") / 40).alias("p"), F.col("quality").alias("label"))
     rows = rows.withColumn("p", F.col("p").cast("double"))
     xs, ys = decode.breakpoints(decode.fit_isotonic(rows))
     return rows.select("p").distinct().select(F.col("p").cast("long").alias("p"), F.round(decode.interpolated(F.col("p"), xs, ys), 6).alias("y"))
@@ -128,9 +125,10 @@ def _lists(s: SparkSession, d: str) -> DataFrame:
 
 
 def _checks(s: SparkSession, d: str) -> DataFrame:
-    truth, ids, raw = fx.truth(s, d), fx.ids(s, d), fx.raw_records(s, d)
-    lines = tables.id_lists(truth, ids.select("s1_id")).select(F.concat_ws("\t", "s1_id", "ids").alias("value"))
-    return tables.output_problems(lines, ids, raw.where("source <> 'S1'").select(F.col("entity_id").alias("cand_id")), lines)
+    """A small output with a known number of each problem; real ones have none, which would prove nothing."""
+    table = {n: s.createDataFrame([(v,) for v in vs], "value string") for n, vs in oracles.OUTPUT.items()}
+    required = table["required"].select(F.col("value").alias("s1_id"), F.lit("x").alias("country"))
+    return tables.output_problems(table["lines"], required, table["valid"].withColumnRenamed("value", "cand_id"), table["candidates"])
 
 
 def _bootstrap(s: SparkSession, d: str) -> DataFrame:
@@ -140,10 +138,10 @@ def _bootstrap(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dice(s: SparkSession, d: str) -> DataFrame:
-    """Accented words play the native script: an accented word of a page's title against the plain ones of its article's other pages."""
-    s1, pool = fx.sides(fx.records(s, d))
-    pairs = translit.pairs_of(fx.truth(s, d), s1, pool)
-    return translit.learn(pairs)
+    """The dictionary learned from pages and their copies in another script."""
+    raw, _, native = fx.varied_records(s, d)
+    rows = written(tx.normalise_records(raw), "varied")
+    return translit.learn(translit.pairs_of(native, rows.where("source <> 'V'"), rows.where("source = 'V'"))).withColumn("dice", F.round("dice", 9))
 
 
 def _prompts(s: SparkSession, d: str) -> DataFrame:
@@ -164,7 +162,7 @@ def _triplets(s: SparkSession, d: str) -> DataFrame:
 
 
 def _transliterated(s: SparkSession, d: str) -> DataFrame:
-    rows = fx.records(s, d)
+    rows = tx.normalise_records(fx.varied_records(s, d)[0])
     return translit.apply(rows, _dice(s, d), "raw_name", "translit_name").select("entity_id", "translit_name")
 
 
@@ -185,7 +183,7 @@ _WITH_SQL: dict[str, tuple[Query, str]] = {
     "union_bitmask": (_union, oracles.UNION),
     "gap_features": (lambda s, d: _rounded(blocking.gaps(_union(s, d), ["name_tok_score", "name_pair_score"]).select("s1_id", "cand_id", "name_tok_score_gap", "name_pair_score_gap", "union_size")), oracles.GAPS),
     "prune_topn": (lambda s, d: blocking.prune(_union(s, d), "n_channels", 10).select("s1_id", "cand_id", "n_channels", "cheap_rank"), oracles.PRUNE),
-    "channel_report": (lambda s, d: blocking.channel_report(_union(s, d), fx.truth(s, d), [*_SOME, "reverse"]), oracles.CHANNELS),
+    "channel_report": (lambda s, d: blocking.channel_report(_union(s, d), fx.truth(s, d), [*_ALL, "reverse"]), oracles.CHANNELS),
     "blocking_report": (_report, oracles.REPORT),
     "token_stats": (_records(lambda r: stats.token_stats(r, ("norm_name", "norm_addr"))), oracles.TOKEN_STATS),
     "idf": (_records(lambda r: _rounded(stats.idf_rows(stats.token_stats(r, ("norm_name",)), "norm_name").where("token is not null"))), oracles.IDF),
@@ -235,9 +233,20 @@ _WITH_SQL: dict[str, tuple[Query, str]] = {
     "levenshtein_sim": (_true({"lev": lambda: strings.score("lev", F.col("s_norm_name"), F.col("p_norm_name"))}), oracles.OTHERS["levenshtein_sim"]),
     "jaro_winkler": (_true({"jw": lambda: strings.score("jw", F.col("s_fold_name"), F.col("p_fold_name"))}), oracles.OTHERS["jaro_winkler"]),
     "damerau": (_true({"d": lambda: strings.damerau_distance(F.col("s_norm_name"), F.col("p_norm_name"))}), oracles.OTHERS["damerau"]),
-    "idf_jaccard": (lambda s, d: _rounded(features.idf_jaccard(features.token_weights(features.with_records(fx.truth(s, d), *fx.sides(fx.records(s, d))), stats.token_stats(fx.records(s, d), ("norm_name",)), "norm_name"), "name_idf_jacc")), oracles.OTHERS["idf_jaccard"]),
+    "idf_jaccard": (lambda s, d: _idf_jaccard(s, d), oracles.OTHERS["idf_jaccard"]),
     "record_text": (_raw(lambda r: r.select("entity_id", tx.record_text(F.col("raw_name"), F.col("raw_addr")).alias("text"))), oracles.OTHERS["record_text"]),
     "id_code": (_raw(lambda r: r.select("entity_id", tx.id_code(F.col("entity_id")).alias("code"))), oracles.OTHERS["id_code"]),
+    "string_scores": (_true({n: (lambda n=n: features.scores()[n]) for n in features.SCORE_NAMES if n.endswith(("_jw", "_lev"))}), oracles.OTHERS["string_scores"]),
+    "dice_dictionary": (_dice, oracles.OTHERS["dice_dictionary"]),
+    "output_checks": (_checks, oracles.OTHERS["output_checks"]),
+    "crc_sample": (_raw(lambda r: split.crc_sample(r.select("entity_id"), "entity_id", 0, keep=r.where("source = 'S1'").select("entity_id"))), oracles.OTHERS["crc_sample"]),
+    "train_band": (_pairs(split.train_band), oracles.DECISIONS["train_band"]),
+    "floor_mask": (_pairs(lambda p: p.select("s1_id", "cand_id", model.floor_mask(F.col("p"), F.col("p") * F.col("p"), 0.5).alias("p"))), oracles.DECISIONS["floor_mask"]),
+    "queue_depth": (_pairs(lambda p: split.common_depth(split.queue(p.where("p BETWEEN 0.1 AND 0.9").withColumn("split", F.col("s1_id") % 2)))), oracles.DECISIONS["queue_depth"]),
+    "top_per": (_pairs(lambda p: stats.top_per(p, ["s1_id"], [F.desc("p"), "cand_id"], 2).select("s1_id", "cand_id", "p")), oracles.DECISIONS["top_per"]),
+    "judge_attached": (_pairs(lambda p: judge.attach(p.select("s1_id", "cand_id", "p"), p.where("p BETWEEN 0.1 AND 0.9").select("s1_id", "cand_id", (1 - F.col("p")).alias("pl")))), oracles.DECISIONS["judge_attached"]),
+    "missed_pairs": (lambda s, d: blocking.missed_pairs(fx.order_truth(s, d), decode.threshold(fx.scored_pairs(s, d), 0.5), *_order_sides(s, d)), oracles.DECISIONS["missed_pairs"]),
+    "error_examples": (lambda s, d: _examples(s, d), oracles.DECISIONS["error_examples"]),
     "event_windows": (_windows, oracles.OTHERS["event_windows"]),
     "event_sessions": (_sessions, oracles.OTHERS["event_sessions"]),
 }
@@ -247,7 +256,14 @@ _WITH_SQL["miss_prior"] = (lambda s, d: _rounded(blocking.miss_prior(fx.truth(s,
 #: Beyond SQL (Unicode tables, alignment, learned models, random weights); tests hold them against literals or plain code.
 _ROWS_ONLY: dict[str, Query] = {
     "token_relation": lambda s, d: _token_relations(s, d),
-    "string_scores": _true({n: (lambda n=n: features.scores()[n]) for n in features.SCORE_NAMES}),
+    "all_scores": _true({n: (lambda n=n: features.scores()[n]) for n in features.SCORE_NAMES}),
+    "combiner": lambda s, d: _combined(s, d),
+    "grid_search": lambda s, d: _grid(s, d),
+    "transfer": lambda s, d: _transferred(s, d),
+    "cross_scores": lambda s, d: _crossed(s, d),
+    "sanity_cosines": lambda s, d: dense.sanity_cosines(*fx.vectors(s, d), _neighbours(s, d)),
+    "dense_channels": lambda s, d: dense.dense_channels(*fx.vectors(s, d)),
+    "augmented_prompts": lambda s, d: _augmented(s, d),
     "pair_features": _features,
     "delta_features": _delta,
     "stage1_oof": _oof,
@@ -257,28 +273,29 @@ _ROWS_ONLY: dict[str, Query] = {
     "platt": lambda s, d: _platt(s, d),
     "link": lambda s, d: _linked(s, d),
     "bootstrap": _bootstrap,
-    "output_checks": _checks,
-    "dice_dictionary": _dice,
     "transliterate": _transliterated,
     "noise_census": _profile(lambda i, t, s1, p: profile.noise_census(profile.true_pairs(t, s1, p))),
     "hard_negatives": _profile(lambda i, t, s1, p: profile.hard_negatives(s1, p, t)),
     "positive_sample": _profile(lambda i, t, s1, p: profile.positive_sample(profile.true_pairs(t, s1, p))),
-    "missed_pairs": lambda s, d: blocking.missed_pairs(fx.truth(s, d), _union(s, d, _ALL), *fx.sides(fx.raw_records(s, d))),
-    "train_band": _pairs(split.train_band),
     "prompts": _prompts,
     "triplets": _triplets,
     "scramble": _raw(lambda r: r.select("entity_id", tx.scramble(F.col("raw_name")).alias("raw_name"))),
-    "crc_sample": _raw(lambda r: split.crc_sample(r.select("entity_id"), "entity_id", 100)),
     "script_of": _raw(lambda r: r.select("entity_id", F.explode(tx.any_script_tokens(F.col("raw_name"))).alias("token")).select("entity_id", "token", tx.script_of("token").alias("script"))),
     "key_texts": _records(lambda r: r.select("entity_id", keys.num_key(F.col("norm_addr"), F.col("house_number")).alias("num_key"), F.size(keys.pair_keys(F.col("fold_name"), 8)).alias("n_pairs"))),
 }
 
 
 def _pre_ranked(s: SparkSession, d: str) -> DataFrame:
-    union = written(blocking.with_prune_features(_union(s, d, _ALL)), "union")
+    union = written(blocking.with_prune_features(_union(s, d)), "union")
     return model.prune_by(model.train_pruner(union, fx.truth(s, d)), union, pipeline.Settings().top).select("s1_id", "cand_id", F.round("cheap_score", 6).alias("cheap_score"), "cheap_rank")
 
 
+def _idf_jaccard(s: SparkSession, d: str) -> DataFrame:
+    pairs, rows = fx.varied_pairs(s, d)
+    pairs = features.with_weights(pairs, stats.token_stats(rows, ("norm_name",)), ["norm_name"])
+    return _rounded(pairs.select("s1_id", "cand_id", features.idf_jaccard("norm_name").alias("name_idf_jacc")))
+
+
 def _platt(s: SparkSession, d: str) -> DataFrame:
     p = fx.scored_pairs(s, d)
     return _rounded(p.select("s1_id", "cand_id", decode.platt(F.col("p"), *decode.fit_platt(p)).alias("p")))
@@ -291,9 +308,67 @@ def _linked(s: SparkSession, d: str) -> DataFrame:
     return pipeline.predict(linker, raw)[0]
 
 
+def _order_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Raw fields of orders and of parts."""
+    orders = fx.table(s, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_orderstatus").alias("raw_name"), F.col("o_orderpriority").alias("raw_addr"))
+    return orders, fx.table(s, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("raw_name"), F.col("p_brand").alias("raw_addr"))
+
+
+def _examples(s: SparkSession, d: str) -> DataFrame:
+    p = fx.scored_pairs(s, d)
+    return _rounded(decode.error_examples(p, decode.threshold(p, 0.5), fx.order_truth(s, d), *_order_sides(s, d)))
+
+
+def _combined(s: SparkSession, d: str) -> DataFrame:
+    """The combiner on the order pairs: p, its logit and the collective figures, out of fold."""
+    p = written(fx.scored_pairs(s, d), "scored")
+    rows = model.combiner_input(None, p, collective.entity_context(p), collective.competition(p)).join(p.select("s1_id", "cand_id", "label"), ["s1_id", "cand_id"])
+    out = model.combine(written(rows, "combiner"), k=2, rounds=20, depth=3)
+    return out.select("s1_id", "cand_id", "label", F.round("p1", 6).alias("p1"), F.round("p", 6).alias("p"))
+
+
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    p = written(fx.scored_pairs(s, d), "scored")
+    best = decode.grid_search(p, fx.order_truth(s, d), fx.order_ids(s, d), lams=(1.0, 1.3), cuts=(0.4, 0.6))
+    rows = [(str(x.get("mode")), float(x["lam"]), float(x["t"]) if x.get("t") is not None else None, round(f, 9)) for f, x in best]
+    return s.createDataFrame(rows, "mode string, lam double, t double, macro_f05 double")
+
+
+def _transferred(s: SparkSession, d: str) -> DataFrame:
+    """Calibration fitted on one order priority and its log-loss on each other one."""
+    p = written(fx.scored_pairs(s, d).join(fx.order_ids(s, d), "s1_id"), "scored")
+
+    def loss(fitted: tuple[float, float], rows: DataFrame) -> float:
+        q = rows.select(decode.platt(F.col("p"), *fitted).alias("q"), "label")
+        return q.agg(F.avg(-(F.col("label") * F.log("q") + (1 - F.col("label")) * F.log(1 - F.col("q"))))).first()[0]
+
+    out = model.transfer(p, "country", decode.fit_platt, loss)
+    return s.createDataFrame([(a, b, round(v, 6)) for a, b, v in out], "fitted_on string, scored_on string, logloss double")
+
+
+def _crossed(s: SparkSession, d: str) -> DataFrame:
+    """Cross-fitted scores of the order pairs: each half by the other half's model, line numbers of no half by both."""
+    p = written(fx.scored_pairs(s, d).withColumn("x", F.col("p") * F.col("p")), "scored")
+    own, rest = model.cross_scores(p.where("s1_id % 4 < 3"), p.where("s1_id % 4 = 3"), ["p", "x"], rounds=5, depth=3, name="q")
+    cols = ["s1_id", "cand_id", "label", F.round("q", 6).alias("q")]
+    return own.select(*cols).unionByName(rest.select(*cols))
+
+
+def _neighbours(s: SparkSession, d: str) -> DataFrame:
+    return dense.knn(*fx.vectors(s, d), k=1)[0].select("s1_id", "cand_id")
+
+
+def _augmented(s: SparkSession, d: str) -> DataFrame:
+    raw, truth, _ = fx.varied_records(s, d)
+    side = lambda p, key, rows: rows.select(F.col("entity_id").alias(key), *[F.col(c).alias(p + c) for c in ("raw_name", "raw_addr", "country", "source")])
+    pairs = truth.join(side("s_", "s1_id", raw), "s1_id").join(side("p_", "cand_id", raw), "cand_id")
+    generic = stats.generic_tokens(stats.token_stats(tx.normalise_records(raw)), 20)
+    return judge.prompts(judge.augmented(pairs), generic, ["aug"])
+
+
 def _token_relations(s: SparkSession, d: str) -> DataFrame:
     """The relation of each distinct pair of unequal tokens that true pairs bring together, computed once for each."""
-    pairs = features.with_records(fx.truth(s, d), *fx.sides(fx.records(s, d)))
+    pairs = fx.varied_pairs(s, d)[0]
     a, b = F.col("s_norm_name"), F.col("p_norm_name")
     left = pairs.select(F.explode(F.array_except(tx.tokens(a), tx.tokens(b))).alias("x"), F.array_except(tx.tokens(b), tx.tokens(a)).alias("ys"))
     both = left.select("x", F.explode("ys").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
