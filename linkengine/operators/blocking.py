@@ -8,6 +8,7 @@ and ties go to the smaller id, so that a result does not depend on the order of
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,8 @@ from ..sources.stage import written
 CHANNELS = ["dense", "reverse", "name_char", "addr_char", "name_tok", "num_key", "name_pair", "addr_pair", "cross_pair", "translit_name", "translit_addr"]
 NO_RANK = 999
 DIGITS = 6
+#: Channels whose jobs are submitted at once.
+SIDE_BY_SIDE = 4
 
 
 @dataclass(frozen=True)
@@ -164,14 +167,18 @@ def with_prune_features(union: DataFrame) -> DataFrame:
     return out.withColumns({c: F.lit(None).cast("double") for c in PRUNE_FEATURES if c not in out.columns})
 
 
+def all_hits(s1: DataFrame, pool: DataFrame, channels: list[Channel] = SPARSE, reverse: bool = True) -> list[DataFrame]:
+    """The hits of each channel, then the reverse ones.  Channels are independent, so their jobs run side by side."""
+    tasks = [lambda c=c: channel_hits(s1, pool, c) for c in channels] + [lambda: reverse_hits(s1, pool)] * reverse
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as threads:
+        return list(threads.map(lambda task: task(), tasks))
+
+
 def union(s1: DataFrame, pool: DataFrame, channels: list[Channel] = SPARSE, reverse: bool = True, extra: DataFrame | None = None) -> DataFrame:
     """One row per pair that a channel, the reverse search or the rows of ``extra`` (dense lists) found."""
     hits = extra.select("channel", "s1_id", "cand_id", "score", "rank") if extra is not None else None
-    for c in channels:
-        own = channel_hits(s1, pool, c)
+    for own in all_hits(s1, pool, channels, reverse):
         hits = own if hits is None else hits.unionByName(own)
-    if reverse:
-        hits = hits.unionByName(reverse_hits(s1, pool))
     return union_hits(hits, [c.name for c in channels] + ["reverse"] * reverse + ["dense"] * (extra is not None))
 
 

@@ -42,13 +42,8 @@ def _topk(name: str) -> Query:
 _ALL = [c.name for c in blocking.SPARSE]
 
 
-def _union(s: SparkSession, d: str, channels: list[str] = _ALL) -> DataFrame:
-    s1, pool = fx.sides(written(fx.records(s, d), "records"))
-    hits = blocking.reverse_hits(s1, pool)
-    for c in blocking.SPARSE:
-        if c.name in channels:
-            hits = hits.unionByName(blocking.channel_hits(s1, pool, c))
-    return blocking.union_hits(hits, [*channels, "reverse"])
+def _union(s: SparkSession, d: str) -> DataFrame:
+    return blocking.union(*fx.sides(written(fx.records(s, d), "records")))
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
