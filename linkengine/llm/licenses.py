@@ -67,7 +67,9 @@ def _bands(shingles: Column) -> Column:
     """Band keys of all windows of an array of shingle hashes."""
     band = F.sequence(F.lit(1), F.lit(BANDS))
     at = F.sequence(F.lit(1), F.size(shingles), F.lit(STRIDE))
-    return F.flatten(F.transform(at, lambda i: _let(F.slice(shingles, i, STRIDE), lambda w: F.transform(band, lambda b: F.array_min(F.transform(w, lambda s: F.xxhash64(s, b)))))))
+    # elements are fetched one by one: a slice inside a function copies the whole array each time
+    window = lambda i: F.array_compact(F.array(*[F.get(shingles, i - 1 + k) for k in range(STRIDE)]))
+    return F.flatten(F.transform(at, lambda i: _let(window(i), lambda w: F.transform(band, lambda b: F.array_min(F.transform(w, lambda s: F.xxhash64(s, b)))))))
 
 
 def template_keys(spark: SparkSession) -> dict[str, list[int]]:
@@ -99,10 +101,11 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     words = F.filter(F.split("low", "[^a-z0-9]+"), lambda w: w != "")
     cut = marked.select("doc_id", words.alias("words"))
     at = F.when(F.size("words") >= WORDS, F.sequence(F.lit(1), F.size("words") - (WORDS - 1)))
-    cut = cut.select("doc_id", F.transform(at, lambda i: F.concat_ws(" ", F.slice("words", i, WORDS))).alias("shingles"))
+    cut = cut.select("doc_id", F.transform(at, lambda i: F.concat_ws(" ", *[F.get("words", i - 1 + k) for k in range(WORDS)])).alias("shingles"))
     every = sorted({k for own in keys.values() for k in own})
-    met = F.array_distinct(F.filter(_bands(F.transform("shingles", lambda s: F.xxhash64(s))), lambda b: b.isin(every)))
-    found = cut.select("doc_id", "shingles", met.alias("met"))
+    hashed = cut.select("doc_id", "shingles", F.transform("shingles", lambda s: F.xxhash64(s)).alias("hashes"))
+    met = F.array_distinct(F.filter(_bands(F.col("hashes")), lambda b: b.isin(every)))
+    found = hashed.select("doc_id", "shingles", met.alias("met"))
     hits = []
     for name, own in SHINGLES.items():
         holds = F.size(F.array_intersect("shingles", F.array(*map(F.lit, own)))) * 100 >= PERCENT * len(own)
