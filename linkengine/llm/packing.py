@@ -13,7 +13,10 @@ row counts of partitions and two figures a step reach the driver.
 from __future__ import annotations
 
 import bisect
+import gc
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -21,6 +24,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,18 @@ END = 0
 #: White-space slices in a worker's cache of ids; when it is full and between tasks it falls back to the ones met first,
 #: which are the frequent ones.
 CACHE, KEEP = 700_000, 450_000
+#: Words whose ids are kept beside them, about, and texts that are cut at once.
+WORDS_HELD, ROWS = 200_000, 1000
+
+
+#: Slices whose words are found without the tokenizer's normaliser: printable ASCII and Latin-1 letters, which are composed and have
+#: a lower case of one letter there.  The words are those of its pattern on such slices in lower case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: The normaliser and the splitting that these stand for, and the mark of a word's last id.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+LAST = "</w>"
 
 
 class SliceTokenizer:
@@ -41,7 +57,8 @@ class SliceTokenizer:
 
     The tokenizer lower-cases, drops white space before it merges and merges within a slice only, so the ids of a text are
     those of its slices in order; tests hold this against the tokenizer on whole texts.  New slices are encoded many at a
-    time, with a mark between them that is one id and that no such slice holds.
+    time, with a mark between them that is one id and that no such slice holds.  Plain ones are put together from the ids of their
+    words, and only new words are encoded, without normaliser; ids that end a word part them.
     """
 
     MARK = "\x01"
@@ -55,9 +72,48 @@ class SliceTokenizer:
         self.ids: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.held: dict[str, bytes] = {}
+        self.words, self.last = self._bare(Tokenizer)
+
+    def _bare(self, kind: type) -> tuple:
+        """(the tokenizer for words alone, which ids end a word); nothing where it is not made the way that PLAIN and WORDS know."""
+        j = json.loads(self.tokenizer.to_str())
+        steps = (j["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if j["normalizer"] != NORMALISER or len(steps) != 2 or steps[0] != SPLIT or steps[1]["type"] != "ByteLevel" or j["model"]["end_of_word_suffix"] != LAST or any("<|" not in t["content"] for t in j["added_tokens"]):
+            return None, None
+        vocab = j["model"]["vocab"]
+        last = np.zeros(max(vocab.values()) + 1, bool)
+        last[[i for t, i in vocab.items() if t.endswith(LAST)]] = True
+        return kind.from_str(json.dumps(j | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}})), last
+
+    def by_words(self, new: list[bytes]) -> list[bytes]:
+        """Ids of the plain ones of ``new``, from those of their words; the others are returned."""
+        if len(self.held) > WORDS_HELD:
+            self.held = {}
+        rest, cut, held = [], [], self.held
+        for s in new:
+            t = s.decode("utf-8")
+            if PLAIN.fullmatch(t) and "<|" not in t:
+                cut.append((s, WORDS.findall(t.lower())))
+            else:
+                rest.append(s)
+        fresh = list({w for _, words in cut for w in words if w not in held})
+        for a in range(0, len(fresh), 50 * self.GROUP):
+            groups = [fresh[i : i + self.GROUP] for i in range(a, min(a + 50 * self.GROUP, len(fresh)), self.GROUP)]
+            for g, e in zip(groups, self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(g, (np.flatnonzero(self.last[ids]) + 1).tolist(), strict=True):
+                    held[w] = raw[4 * at : 4 * end]
+                    at = end
+        for s, words in cut:
+            self.ids[s] = b"".join([held[w] for w in words])
+        return rest
 
     def learn(self, new: list[bytes]) -> None:
         """Ids of slices that the cache has not."""
+        if self.words is not None:
+            new = self.by_words(new)
         alone = [s for s in new if self.mark is None or self.MARK.encode() in s]
         for s in alone:
             self.ids[s] = np.array(self.tokenizer.encode(s.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -85,17 +141,21 @@ class SliceTokenizer:
         end = np.array([END], "<u4").tobytes()
         # capitals of ASCII texts go first, for fewer slices; elsewhere a mark may compose with the capital, and the names of
         # special tokens are matched as they stand, so those texts are left to the tokenizer
-        cut = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
+        own = pa.array([t.lower() if t.isascii() and b"<|" not in t else t for t in texts], pa.large_binary()).view(pa.large_string())
+        cut = pc.ascii_split_whitespace(own)  # slices at the ends of a text may be empty
         if len(self.ids) > CACHE:
             self.trim()
-        found = [list(map(self.ids.get, slices)) for slices in cut]
-        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
-        self.learn(list({slices[i] for slices, gap in zip(cut, gaps, strict=True) for i in gap}))
-        for slices, ids, gap in zip(cut, found, gaps, strict=True):
-            for i in gap:
-                ids[i] = self.ids[slices[i]]
-            ids.append(end)
-            yield b"".join(ids)
+        self.ids[b""] = b""
+        codes = cut.flatten().dictionary_encode()  # the cache is asked once for each distinct slice
+        slices = codes.dictionary.view(pa.large_binary()).to_pylist()
+        self.learn([s for s in slices if s not in self.ids])
+        ids = [self.ids[s] for s in slices]
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
+        found = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4"))).take(codes.indices)
+        at = 4 * found.offsets.to_numpy()[cut.offsets.to_numpy()]
+        whole = found.values.to_numpy().tobytes()
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield whole[lo:hi] + end
 
 
 @lru_cache(1)
@@ -104,15 +164,15 @@ def _tokenizer(path: str) -> SliceTokenizer:
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
         for b in batches:
             docs = b.column(0).to_pylist()
             texts = b.column(1).cast(pa.large_binary())
-            for a in range(0, b.num_rows, 500):
-                part = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts[a : a + 500]]
+            for a in range(0, b.num_rows, ROWS):
+                part = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts[a : a + ROWS]]
                 rows = []
-                for doc, ids in zip(docs[a : a + 500], tok.batch(part), strict=True):
+                for doc, ids in zip(docs[a : a + ROWS], tok.batch(part), strict=True):
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), own))
@@ -125,6 +185,13 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
                 yield pa.record_batch(out, names=names)
         tok.trim()
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here is cyclic, and the collector would walk the caches again and again
+        try:
+            yield from cut(batches)
+        finally:
+            gc.enable()
+
     return run
 
 

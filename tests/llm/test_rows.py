@@ -63,3 +63,21 @@ def test_a_very_long_text_is_packed_whole(spark):
     docs = spark.createDataFrame([(1, "word " * 300_000), (2, "x")], "doc_id long, text string").withColumn("offset", F.lit("o"))
     rows = packing.pack_documents(docs, P.path("word_bpe_49k.json")).collect()
     assert sum(r.length for r in rows if r.doc_id == 1) == 300_001 and len({r.sequence_id for r in rows}) == -(-300_003 // 2048)
+
+
+def test_only_new_words_of_plain_slices_are_encoded():
+    tok = packing.SliceTokenizer(P.path("word_bpe_49k.json"))
+    asked = []
+
+    class Words:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, **kw)
+
+    real, tok.words = tok.words, Words()
+    texts = ["Word, word. (word) Straße STRASSE it's 42 <|endoftext|> </w>", "Word! word? Straße; É'LL \u212a x\u0301", " \t ", ""]
+    want = [tok.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in tok.batch([t.encode()])] == want
+    words = " ".join(asked).split()
+    assert words.count("word") == 1 and words.count("straße") == 1 and "word," not in words
+    assert [np.frombuffer(x, "<u4").tolist() for x in tok.batch([t.encode() for t in texts])] == want
