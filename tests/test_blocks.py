@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkengine.functions import strings
-from linkengine.operators import blocking, features
+from linkengine.operators import blocking, features, model
 
 SCHEMA = "id string, grp string, keys array<string>"
 
@@ -129,3 +129,22 @@ def test_hits_of_channels_are_written(spark):
     out = blocking.union(rows.where("source = 'S1'"), rows.where("source <> 'S1'"))
     assert leaves(out, "MapInArrow") == 0
     assert out.first().n_channels >= 2
+
+
+def test_plans_of_the_folds_hold_one_vector(spark, monkeypatch):
+    """Fits and scoring read the features as one column: k plans of 108 expressions fill the driver."""
+    collected = []
+    monkeypatch.setattr(model, "collected", collected.append)
+    rows = spark.range(60).select(
+        F.concat(F.lit("S1-"), F.col("id") % 12).alias("s1_id"), F.col("id").alias("cand_id"), (F.col("id") % 2).cast("double").alias("a"),
+        F.when(F.col("id") % 3 > 0, F.col("id").cast("float")).alias("b"), (F.col("id") % 2).cast("int").alias("label"),
+    )
+    out = model.out_of_fold(rows, ["a", "b"], 3, rounds=2, depth=1)
+    assert leaves(out, "nanvl") == 0 and leaves(out, "VectorAssembler") == 0
+    assert len(collected) == 3
+    assert out.columns == [*rows.columns, "fold", "p"]
+    got = {r.cand_id: r for r in out.collect()}
+    assert len(got) == 60 and {r.fold for r in got.values()} == {0, 1, 2}
+    for n, r in got.items():
+        assert (r.a, r.b, r.label) == (n % 2, n if n % 3 else model.MISSING, n % 2)
+        assert (r.p > 0.5) == (r.label == 1)
