@@ -50,8 +50,8 @@ def components(edges: DataFrame, store: Store, max_rounds: int = 60) -> DataFram
     for _ in range(max_rounds):
         if not last[0]:
             break
-        large = store.save(_large_star(e, last[0]), "large")
-        new = store.save(_small_star(large, last[0]), "star")
+        large = store.save(_large_star(e, last[0]), "large", 2 * last[0])
+        new = store.save(_small_star(large, last[0]), "star", 2 * last[0])
         now = mark(new)
         store.drop(e)
         store.drop(large)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Rows of a file where a table's bound of rows is known.
+ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +33,15 @@ class Store:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back with its own schema."""
+    def save(self, df: DataFrame, tag: str, most: int | None = None) -> DataFrame:
+        """Write ``df`` as Parquet and read it back with its own schema.
+
+        Where it has at most ``most`` rows, a file for each ``ROWS`` of them or each core is enough: on local disks each file costs
+        two processes that the executor starts, for the permissions.
+        """
+        if most is not None:
+            files = max(self.spark.sparkContext.defaultParallelism, -(-most // ROWS))
+            df = df.coalesce(files) if files < partitions(self.spark) else df
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{tag}"
         df.write.parquet(path)

@@ -198,6 +198,28 @@ def test_components(spark):
     assert got == {i: find(i) for a, b in edges if a != b for i in (a, b)}
 
 
+def test_rounds_of_components_write_few_files(spark):
+    """On local disks a file costs two processes, which count as the executor's memory over again until they run a program of their own."""
+    files, held = {}, {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+
+    class Counted(Store):
+        def save(self, df, tag, *more):
+            out = super().save(df, tag, *more)
+            files.setdefault(tag, []).append(len(out.inputFiles()))
+            return out
+
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.id: r.comp for r in graph.components(spark.range(500).selectExpr("id AS u", "id + 500 * (1 + id % 3) AS v"), Counted(spark, "t")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 1000 and all(got[i] == i == got[i + 500 * (1 + i % 3)] for i in range(500))
+    assert max(files["large"] + files["star"]) <= spark.sparkContext.defaultParallelism < 24
+
+
 def test_word_hashes():
     import pyarrow as pa
 
